@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read
-from . import encode
+from . import encode, packing
 
 QUERIES = {}
 SQL = {}
@@ -19,3 +20,19 @@ def query(f):
 @query
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(read(spark, d, "documents"))
+
+
+@query
+def p7_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every article, or piece of an article larger than the capacity, for each budget."""
+    docs = read(spark, d, "documents")
+    shards = max(1, -(-docs.select("doc_id").count() // packing.SHARD_ITEMS))
+    return packing.fill_containers(encode.token_counts(docs), packing.budget_list(read(spark, d, "token_budgets")), shards)
+
+
+@query
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per budget: containers, tokens, the least number of containers possible, and the share of space used."""
+    caps = read(spark, d, "token_budgets").select("budget_id", F.col("capacity").cast("long").alias("capacity"))
+    by = p7_assignments(spark, d).groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("budget_id").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
+    return by.join(F.broadcast(caps), "budget_id").select("budget_id", "capacity", "containers", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4).alias("fill"))
