@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encode, packing
+from . import encode, packing, pairs
 
 QUERIES = {}
 SQL = {}
@@ -36,3 +36,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     caps = read(spark, d, "token_budgets").select("budget_id", F.col("capacity").cast("long").alias("capacity"))
     by = p7_assignments(spark, d).groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("budget_id").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
     return by.join(F.broadcast(caps), "budget_id").select("budget_id", "capacity", "containers", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4).alias("fill"))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(read(spark, d, "eval_items"))
+
+
+@query
+def p1_by_run(spark: SparkSession, d: str) -> DataFrame:
+    """Defects per evaluation run and type."""
+    items = read(spark, d, "eval_items").select("item_id", "run_id").distinct()
+    return p1_found(spark, d).join(items, "item_id").groupBy("run_id", "defect").agg(F.countDistinct("item_id").alias("n_items"))
