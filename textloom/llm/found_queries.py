@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encode, packing, pairs
+from . import encode, packing, pairs, quality
 
 QUERIES = {}
 SQL = {}
@@ -48,3 +48,13 @@ def p1_by_run(spark: SparkSession, d: str) -> DataFrame:
     """Defects per evaluation run and type."""
     items = read(spark, d, "eval_items").select("item_id", "run_id").distinct()
     return p1_found(spark, d).join(items, "item_id").groupBy("run_id", "defect").agg(F.countDistinct("item_id").alias("n_items"))
+
+
+@query
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(read(spark, d, "documents"), read(spark, d, "doc_kind_labels"), read(spark, d, "common_words"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_stats(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
