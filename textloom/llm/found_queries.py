@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encode, packing, pairs, quality
+from . import encode, packing, pairs, quality, scans
 
 QUERIES = {}
 SQL = {}
@@ -58,3 +58,15 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = scans.scan_lines(read(spark, d, "pdf_conversions"))
+    return lines.select("file_id", "line_no", F.explode("noise").alias("noise")).distinct()
+
+
+@query
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every scanned file."""
+    return scans.repaired_texts(read(spark, d, "pdf_conversions"))
