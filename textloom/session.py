@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,19 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the library's code to the executors, once per application; Spark serves the archive from the driver."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="textloom-")) / "textloom.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for f in sorted(root.rglob("*.py")):
+                out.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(app)
