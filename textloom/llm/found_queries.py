@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import encode, packing, pairs, quality, scans
+from . import encode, neardup, packing, pairs, quality, scans
 
 QUERIES = {}
 SQL = {}
@@ -70,3 +70,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     """The repaired text of every scanned file."""
     return scans.repaired_texts(read(spark, d, "pdf_conversions"))
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    nodes = read(spark, d, "kb_nodes").select(F.lit("kb_nodes").alias("src"), F.col("node_id").alias("key"), "text")
+    docs = read(spark, d, "cleaned_docs").select(F.lit("cleaned_docs").alias("src"), F.col("record_id").cast("string").alias("key"), F.col("problem.description").alias("text"))
+    return nodes.unionByName(docs)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.key_pairs(*neardup.near_duplicates(_described(spark, d)))
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record: the class of its copies, its group, and the number of similar other texts."""
+    return neardup.record_groups(*neardup.near_duplicates(_described(spark, d)))
