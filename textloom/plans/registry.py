@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hygiene
+from . import hygiene, retrieval
 
-MODULES = (hygiene,)
+MODULES = (hygiene, retrieval)
 
 
 def queries():
