@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hygiene, retrieval
+from . import chunks, documents, hygiene, retrieval
 
-MODULES = (hygiene, retrieval)
+MODULES = (hygiene, retrieval, documents, chunks)
 
 
 def queries():

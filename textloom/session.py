@@ -42,7 +42,7 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """df written as a table in the shared folder and read again: computed once, whatever executors are lost later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
