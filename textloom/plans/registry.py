@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, documents, hygiene, retrieval
+from . import chunks, contexts, documents, hygiene, retrieval, rules, stores
 
-MODULES = (hygiene, retrieval, documents, chunks)
+MODULES = (hygiene, retrieval, documents, chunks, rules, stores, contexts)
 
 
 def queries():
