@@ -76,7 +76,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosi
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
             s = x @ y.T
-        s = np.round(s, 6)
+        s = np.round(s, 6) + 0.0
         ids = b["doc_id"].to_numpy()
         order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
         return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), order.shape[1]), "doc_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})

@@ -113,10 +113,11 @@ SQL["conv_export"] = f"select run_id, turn::int turn, json_object('run_id', run_
 
 
 def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Results for titles, and the documents that have the same title as what should be found."""
-    t = Q.titles(spark, d)
-    expected = t.join(read(spark, d, "documents").select("doc_id", "title"), F.col("query_text") == F.col("title")).select("query_id", "doc_id")
-    return R.bm25(t, Q.documents(spark, d), Q.K), expected
+    """Results for the first 12 words of documents, and the documents of the same text as what should be found."""
+    docs = read(spark, d, "documents").where("text is not null")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", "[ \t\r\n]+"), 1, 12), " ").alias("query_text"), F.md5("text").alias("h"))
+    expected = asked.join(docs.select("doc_id", F.md5("text").alias("h")), "h").select("query_id", "doc_id")
+    return R.bm25(asked.select("query_id", "query_text"), Q.documents(spark, d), Q.K), expected
 
 
 @query
@@ -124,7 +125,8 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return E.retrieval_metrics(*judged(spark, d))
 
 
-SQL["retrieval_metrics"] = f"""with r as ({Q._bm25(Q._TITLES)}), e as (select query_id, doc_id from {Q._TITLES} t join documents on title = query_text),
+_JUDGED = r"(select doc_id query_id, array_to_string(list_slice(string_split_regex(text, '[ \t\r\n]+'), 1, 12), ' ') query_text, md5(text) h from documents where text is not null and doc_id % 50 = 0)"
+SQL["retrieval_metrics"] = f"""with r as ({Q._bm25(_JUDGED)}), e as (select query_id, doc_id from {_JUDGED} t join (select doc_id, md5(text) h from documents where text is not null) using (h)),
 h as (select r.query_id, rank, (e.doc_id is not null)::int rel, sum((e.doc_id is not null)::int) over (partition by r.query_id order by rank) seen from r left join e on r.query_id = e.query_id and r.doc_id = e.doc_id),
 n as (select query_id, count(*) n from e group by 1),
 g as (select query_id, count(*) got, sum(rel) hits, min(case when rel = 1 then rank end) f, sum(case when rel = 1 then seen / rank else 0 end) ap, sum(case when rel = 1 then 1 / log2(rank + 1) else 0 end) dcg from h group by 1)
@@ -134,28 +136,28 @@ from n left join g using (query_id)"""
 
 @query
 def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Means of the stored retrieval metrics per run; a metric that an item lacks counts 0."""
-    return E.metrics_summary(read(spark, d, "eval_items").where("item_id is not null").select("item_id", "run_id", "retrieval_metrics").dropDuplicates(["item_id"]))
+    """Means of the stored retrieval metrics per run; a metric that an item lacks counts 0, items without any are left out."""
+    return E.metrics_summary(read(spark, d, "eval_items").where("item_id is not null and retrieval_metrics is not null").select("item_id", "run_id", "retrieval_metrics").dropDuplicates(["item_id"]))
 
 
 _METRICS = ("hit_rate", "mrr", "precision", "recall", "ndcg", "ap")
-SQL["metrics_summary"] = "select run_id, metric, round(avg(coalesce(retrieval_metrics[metric], 0)), 6) mean, count(*) items from (select distinct on (item_id) * from eval_items where item_id is not null), (select unnest(['" + "', '".join(_METRICS) + "']) metric) group by 1, 2"
+SQL["metrics_summary"] = "select run_id, metric, round(avg(coalesce(retrieval_metrics[metric], 0)), 6) mean, count(*) items from (select distinct on (item_id) * from eval_items where item_id is not null and retrieval_metrics is not null), (select unnest(['" + "', '".join(_METRICS) + "']) metric) group by 1, 2"
 
 
 @query
 def response_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per judge: mean score, passing rate, both over what is known, and items in all."""
-    return E.response_summary(read(spark, d, "eval_items").where("item_id is not null").select("item_id", "response_metrics").dropDuplicates(["item_id"]))
+    return E.response_summary(read(spark, d, "eval_items").where("item_id is not null and response_metrics is not null").select("item_id", "response_metrics").dropDuplicates(["item_id"]))
 
 
 SQL["response_summary"] = """select evaluator, round(avg(score), 6) avg_score, round(avg(passing::int), 6) passing_rate, count(*) items from (
 select evaluator, json_extract_string(response_metrics, '$.' || evaluator || '.score')::double score, json_extract_string(response_metrics, '$.' || evaluator || '.passing')::boolean passing from (
-select response_metrics, unnest(json_keys(response_metrics)) evaluator from (select distinct on (item_id) * from eval_items where item_id is not null) where response_metrics is not null)) group by 1"""
+select response_metrics, unnest(json_keys(response_metrics)) evaluator from (select distinct on (item_id) * from eval_items where item_id is not null and response_metrics is not null))) group by 1"""
 
 
 @query
 def eval_run(spark: SparkSession, d: str) -> DataFrame:
-    """Titles searched and judged in one plan: means over all queries."""
+    """Queries searched and judged in one plan: means over all of them."""
     m = retrieval_metrics(spark, d)
     return m.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 4).alias(c) for c in ("hit_rate", "mrr", "precision", "recall", "ap", "ndcg")])
 

@@ -9,13 +9,11 @@ from pyspark.sql.window import Window as W
 from ..functions.text import estimated_tokens, matches
 from ..operators import cleaning as C
 from ..session import read
+from ..sources.files import SUPPORTED
 
 QUERIES = {}
 SQL = {}
 
-# File types that can be loaded.
-SUPPORTED = (".pdf", ".txt", ".md", ".docx", ".html", ".htm", ".json", ".csv", ".xlsx", ".pptx", ".py", ".java", ".cpp", ".c", ".h", ".hpp", ".go", ".js", ".ts", ".jsx", ".tsx")
-
 
 def query(f):
     QUERIES[f.__name__] = f

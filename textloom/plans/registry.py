@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, contexts, documents, hygiene, retrieval, rules, stores
+from . import chunks, contexts, documents, hygiene, retrieval, rules, stores, streams
 
-MODULES = (hygiene, retrieval, documents, chunks, rules, stores, contexts)
+MODULES = (hygiene, retrieval, documents, chunks, rules, stores, contexts, streams)
 
 
 def queries():

@@ -73,7 +73,7 @@ def _dense(queries: str, score: str) -> str:
 
 _COS = "list_cosine_similarity(q.embedding::double[], e.embedding::double[])"
 _DOT = "list_inner_product(q.embedding::double[], e.embedding::double[])"
-_L2 = "-list_distance(q.embedding::double[], e.embedding::double[])"
+_L2 = "0 - list_distance(q.embedding::double[], e.embedding::double[])"
 _VQ = "(select * from embeddings where vec_id % 50 = 0)"
 _TQ = f"(select e.* from embeddings e join {_TITLES} t on t.query_id = e.vec_id)"
 
@@ -107,6 +107,9 @@ def dense_topk_l2(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_topk(vector_queries(spark, d), vectors(spark, d), K, "l2")
 
 
+SQL["dense_topk_l2"] = _dense(_VQ, _L2)
+
+
 @query
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return R.rrf([*lists(spark, d)], K)
@@ -263,6 +266,41 @@ def format_nodes(spark: SparkSession, d: str) -> DataFrame:
 SQL["format_nodes"] = f"select query_id, rank, '[' || rank || '] (' || printf('%.3f', score) || ') ' || coalesce(regexp_extract(source, '[^/]*$'), 'unknown') || ': ' || substring(text, 1, 300) line from ({_bm25(_ASKED)}) join documents using (doc_id) where rank <= 5"
 
 
+@query
+def dedup_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images of the texts a query found, each path once, with the best score of a text that shows it."""
+    found = R.bm25(asked(spark, d), documents(spark, d), 50).join(documents(spark, d), "doc_id")
+    rows = found.select("query_id", "doc_id", "score", F.explode(F.regexp_extract_all("text", F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1))).alias("path"))
+    best = rows.groupBy("query_id", "path").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("m"))
+    return best.select("query_id", "path", "m.score", (-F.col("m.d")).alias("doc_id"))
+
+
+SQL["dedup_images"] = rf"""select query_id, path, score, doc_id from (select *, row_number() over (partition by query_id, path order by score desc, doc_id) n from (
+select distinct query_id, doc_id, score, unnest(regexp_extract_all(text, '!\[[^\]]*\]\(([^)]+)\)', 1)) path from ({_bm25(_ASKED).replace(f'rank <= {K}', 'rank <= 50')}) join documents using (doc_id))) where n = 1"""
+
+
+@query
+def table_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that scanned files name, with the number of files that name the same; absolute and climbing paths are refused."""
+    t = read(spark, d, "pdf_conversions").select("file_id", F.explode("table_files").alias("path")).distinct().where("path is not null and path not like '/%' and not contains(path, '..')")
+    return t.join(t.groupBy("path").agg(F.count("*").alias("files")), "path").select("file_id", "path", F.substring_index("path", "/", -1).alias("name"), "files")
+
+
+SQL["table_lookup"] = "select file_id, path, regexp_extract(path, '[^/]*$') as name, count(*) over (partition by path) files from (select distinct file_id, unnest(table_files) path from pdf_conversions) where path is not null and path not like '/%' and not contains(path, '..')"
+
+
+@query
+def rerank_remap(spark: SparkSession, d: str) -> DataFrame:
+    """A scorer's answer, pairs of position and score, mapped back to the results by position."""
+    base = R.bm25(asked(spark, d), documents(spark, d), 5)
+    answer = base.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: F.struct((x["rank"] - 1).alias("index"), F.round(1 / (1 + F.pmod(x["doc_id"], F.lit(7))), 6).alias("relevance_score"))).alias("results"))
+    scored = answer.select("query_id", F.inline("results")).join(base.select("query_id", "doc_id", (F.col("rank") - 1).alias("index")), ["query_id", "index"]).withColumn("score", F.col("relevance_score"))
+    return R.top_k(scored, 3).select("query_id", "doc_id", "score", "rank")
+
+
+SQL["rerank_remap"] = f"select query_id, doc_id, score, rank::int rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (select query_id, doc_id, round(1 / (1 + doc_id % 7), 6) score from ({_bm25(_ASKED)}) where rank <= 5)) where rank <= 3"
+
+
 @query
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     """Feature-hash vectors of all documents: words by the first hex digits of their md5, 16 dimensions, length 1."""
