@@ -141,7 +141,7 @@ def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 _METRICS = ("hit_rate", "mrr", "precision", "recall", "ndcg", "ap")
-SQL["metrics_summary"] = "select run_id, metric, round(avg(coalesce(retrieval_metrics[metric], 0)), 6) mean, count(*) items from (select distinct on (item_id) * from eval_items where item_id is not null and retrieval_metrics is not null), (select unnest(['" + "', '".join(_METRICS) + "']) metric) group by 1, 2"
+SQL["metrics_summary"] = "select run_id, metric, sum(round(coalesce(retrieval_metrics[metric], 0) * 10000)::bigint)::double / (count(*) * 10000.0::double) mean, count(*) items from (select distinct on (item_id) * from eval_items where item_id is not null and retrieval_metrics is not null), (select unnest(['" + "', '".join(_METRICS) + "']) metric) group by 1, 2"
 
 
 @query
