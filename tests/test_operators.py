@@ -139,3 +139,21 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
         I.ingest(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "marks")).awaitTermination()
     got = {(r.node_id, r.text) for r in I.latest_version(spark, store).collect()}
     assert got == {(r.node_id, r.text) for r in S.reingest(S.latest(first), second).collect()} == {("a", "2"), ("c", "1")}
+
+
+def test_code(spark):
+    from textloom.operators import code
+
+    text = "a\n```python\nclass A:\n    def f(self):\n        return 1\n\ndef g(): pass\n```\n```\nnot python (\n```\n```sh\nls"
+    blocks = code.code_blocks(docs(spark, [text, None, ""])).orderBy("pos").collect()
+    assert [(b.language, b.lines) for b in blocks] == [("python", 5), (None, 1), ("sh", 1)]
+    rows = spark.createDataFrame([(1, blocks[0].code), (2, blocks[1].code), (3, None)], "id long, code string")
+    got = [(r.id, r.kind, r["name"], r.parent, r.start_line, r.end_line) for r in code.python_entities(rows, "id", "code").collect()]
+    assert got == [(1, "class", "A", None, 1, 3), (1, "method", "f", "A", 2, 3), (1, "function", "g", None, 5, 5)]
+
+
+def test_semantic_chunks_keep_all_sentences(spark):
+    text = "one cat sat. one cat ran. one cat slept. A wholly other matter here! 另一句。"
+    rows = K.semantic_chunks(docs(spark, [text, None, "", "single"])).orderBy("doc_id", "chunk_index").collect()
+    assert " ".join(r.chunk for r in rows if r.doc_id == 0).split() == " ".join(["one cat sat.", "one cat ran.", "one cat slept.", "A wholly other matter here!", "另一句。"]).split()
+    assert len([r for r in rows if r.doc_id == 0]) == 2 and [r.chunk for r in rows if r.doc_id == 3] == ["single"]

@@ -163,3 +163,26 @@ def markdown_chunks(docs: DataFrame, limit_tokens: int = 512, max_chars: int = 3
     sized = rows.select(key, "section", "path", "code", "tab", "n", F.posexplode(F.when(F.length("c.t") > max_chars, char_chunks(F.col("c.t"), max_chars, 50)).otherwise(F.array("c.t"))).alias("m", "body"))
     order = W.partitionBy(key).orderBy("section", "n", "m")
     return sized.select(key, (F.row_number().over(order) - 1).alias("chunk_index"), F.col("path").alias("header_path"), (F.col("code") == 1).alias("has_code"), (F.col("tab") == 1).alias("has_table"), F.concat(F.when(F.col("path") == "//", F.lit("")).otherwise(F.concat(F.col("path"), F.lit("\n"))), F.col("body")).alias("chunk"))
+
+
+def semantic_chunks(docs: DataFrame, dim: int = 16, share: float = 0.95, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, chunk_index, chunk: sentences, cut where two neighbours' hashed word vectors are farther apart than at 95 % of a text's joints.
+
+    Vectors are built-in expressions: counts of words by hash. Sentences without words are at distance 1 from all.
+    """
+    s = docs.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "s"))
+    words = F.regexp_extract_all(F.lower("s"), F.lit("[a-z0-9]+|[\\u4e00-\\u9fff]"), F.lit(0))
+    dims = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(dim)).cast("int"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(dims, lambda x: x == i)).cast("double"))
+    w = W.partitionBy(key).orderBy("pos")
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+    rows = s.withColumn("v", vector).withColumn("before", F.lag("v").over(w))
+    norm = F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("before"), F.col("before")))
+    rows = rows.withColumn("far", F.when(F.col("before").isNotNull(), F.when(norm > 0, 1 - dot(F.col("v"), F.col("before")) / norm).otherwise(1.0)))
+    rows = rows.withColumn("limit", F.percentile("far", F.lit(share)).over(W.partitionBy(key)))
+    cut = F.sum(F.coalesce((F.col("far") > F.col("limit")).cast("int"), F.lit(0))).over(w)
+    parts = rows.withColumn("chunk_index", cut.cast("int")).groupBy(key, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l"))
+    return parts.select(key, "chunk_index", F.array_join(F.transform("l", lambda x: x["s"]), " ").alias("chunk"))

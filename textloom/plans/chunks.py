@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking as K
+from ..operators import code as Code
 from ..session import read
 from .documents import _STRIP, _TABLE
 
@@ -202,3 +203,18 @@ def chunk_heading_ctx(spark: SparkSession, d: str) -> DataFrame:
 SQL["chunk_heading_ctx"] = f"""with p as (select doc_id, chunk_index, (len(string_split(substring(text, 1, instr(text, substring(chunk, 1, 50)) - 1), chr(10))) - 1)::int line_no from ({SQL['chunk_sentence']}) join documents using (doc_id) where instr(text, substring(chunk, 1, 50)) > 0),
 h as ({SQL['heading_chain']})
 select p.doc_id, p.chunk_index, p.line_no, max_by(h.heading, h.line_no) heading from p left join h on h.doc_id = p.doc_id and h.line_no <= p.line_no group by all"""
+
+
+@query
+def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return K.semantic_chunks(docs(spark, d))
+
+
+@query
+def code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced blocks of all documents, with their language."""
+    return Code.code_blocks(docs(spark, d)).select("doc_id", "pos", "language", "lines")
+
+
+SQL["code_blocks"] = rf"""select doc_id, pos, nullif(lower(regexp_extract(element, '\A\s*```(\w*)', 1)), '') as language, case when body = '' then 0 else len(string_split(body, chr(10))) end::int as lines from (
+select *, regexp_replace(regexp_replace(element, '\A[^\n]*(\n|\z)', ''), '\n?[ \t]*```[^\n]*\z', '') body from ({SQL['md_elements']}) where kind = 'code')"""
