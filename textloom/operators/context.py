@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.ranks import numbered_within
+
 
 def within_budget(results: DataFrame, budget: int, dressed: bool) -> DataFrame:
     """query_id, context, used: texts in order of rank as long as all of them fit the budget of characters.
@@ -31,17 +33,24 @@ def prompt(context, question):
     return F.concat(F.lit(before), context, F.lit(middle), question, F.lit(after))
 
 
-def turns(items: DataFrame, conversation: str, order: list[str]) -> DataFrame:
-    """items with turn, counted from 1 in each conversation."""
-    return items.withColumn("turn", F.row_number().over(W.partitionBy(conversation).orderBy(*order)))
+def turns(items: DataFrame, conversation: str, item: str, span: int = 10_000) -> DataFrame:
+    """items with turn, counted from 1 in each conversation by item number; the numbering is spread over spans of numbers."""
+    return numbered_within(items, conversation, F.floor(F.col(item) / span), [item], "turn")
 
 
 def enriched(rows: DataFrame, conversation: str, recent: int = 2, cut: int = 200) -> DataFrame:
-    """conversation, turn, enriched: each question with the last turns before it; the first stays as it is."""
-    w = W.partitionBy(conversation).orderBy("turn").rowsBetween(-recent, -1)
-    before = F.collect_list(F.concat(F.lit("问: "), "query", F.lit("\n答: "), F.substring("response", 1, cut))).over(w)
-    text = F.concat(F.lit("【上下文】\n"), F.array_join("before", "\n"), F.lit("\n\n用户问题："), F.col("query"))
-    return rows.withColumn("before", before).select(conversation, "turn", F.when(F.size("before") > 0, text).otherwise(F.col("query")).alias("enriched"))
+    """conversation, turn, enriched: each question with the last turns before it; the first stays as it is.
+
+    Former turns are joined by conversation and turn number, so a long conversation is no task of its own.
+    """
+    said = rows.select(F.col(conversation).alias("_c"), "turn", F.concat(F.lit("问: "), "query", F.lit("\n答: "), F.substring("response", 1, cut)).alias("_said"))
+    out = rows.select(conversation, "turn", "query")
+    for back in range(recent, 0, -1):
+        past = said.select("_c", (F.col("turn") + back).alias("_t"), F.col("_said").alias(f"_b{back}"))
+        out = out.join(past, (F.col(conversation) == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").drop("_c", "_t")
+    before = F.concat_ws("\n", *[f"_b{back}" for back in range(recent, 0, -1)])
+    text = F.concat(F.lit("【上下文】\n"), before, F.lit("\n\n用户问题："), F.col("query"))
+    return out.select(conversation, "turn", F.when(F.col("_b1").isNotNull(), text).otherwise(F.col("query")).alias("enriched"))
 
 
 def windows(rows: DataFrame, conversation: str, limit: int = 6, keep: int = 2) -> DataFrame:

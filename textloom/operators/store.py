@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def latest(rows: DataFrame, key: str = "node_id", order: str = "loaded_at") -> DataFrame:
-    """The last row of each key by delivery time, ties by the whole row; null keys are dropped."""
-    w = W.partitionBy(key).orderBy(F.desc_nulls_last(order), F.to_json(F.struct("*")))
-    return rows.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last row of each key by delivery time, ties by the whole row; null keys are dropped.
+
+    An aggregate, so that repeated deliveries of a key are reduced before they are shuffled.
+    """
+    last = F.max_by(F.struct("*"), F.struct(order, F.to_json(F.struct("*"))))
+    return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(last.alias("_r")).select("_r.*")
 
 
 def upsert(existing: DataFrame, batch: DataFrame, key: str = "node_id") -> DataFrame:

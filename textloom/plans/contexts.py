@@ -72,7 +72,7 @@ SQL["format_sources"] = f"select query_id, string_agg(source, '; ' order by rank
 def conversation(spark: SparkSession, d: str) -> DataFrame:
     items = read(spark, d, "eval_items").where("query is not null and run_id is not null")
     once = items.groupBy("item_id", "run_id", "query").agg(F.coalesce(F.min("response"), F.lit("")).alias("response"))
-    return X.turns(once, "run_id", ["item_id"])
+    return X.turns(once, "run_id", "item_id")
 
 
 _TURNS = "(select *, row_number() over (partition by run_id order by item_id) turn from (select item_id, run_id, query, coalesce(min(response), '') response from eval_items where query is not null and run_id is not null group by all))"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.ranks import numbered_within
 from ..functions.text import estimated_tokens, matches
 from ..operators import cleaning as C
 from ..session import read
@@ -207,8 +208,7 @@ SQL["info_density"] = "select source_file, case when sum(length(text)) > 0 then
 def quality_sample(spark: SparkSession, d: str) -> DataFrame:
     """A sample stratified by length: of every source's chunks, in order of length, one in ten from the first on."""
     n = read(spark, d, "kb_nodes").where("text is not null and source_file is not null").groupBy("node_id", "source_file").agg(F.max(F.length("text")).alias("len"))
-    place = F.row_number().over(W.partitionBy("source_file").orderBy("len", "node_id"))
-    return n.withColumn("place", place).where("(place - 1) % 10 = 0").select("source_file", "node_id", "len")
+    return numbered_within(n, "source_file", F.col("len"), ["node_id"], "place").where("(place - 1) % 10 = 0").select("source_file", "node_id", "len")
 
 
 SQL["quality_sample"] = "select source_file, node_id, len::int len from (select *, row_number() over (partition by source_file order by len, node_id) p from (select node_id, source_file, max(length(text)) len from kb_nodes where text is not null and source_file is not null group by all)) where (p - 1) % 10 = 0"
