@@ -17,6 +17,11 @@ def _none() -> Column:
     return F.array().cast(STRINGS)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once; expressions inside a fold are not shared otherwise."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def token_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of `size` words, each starting size - overlap words after the one before; none for blank texts."""
     if not 0 <= overlap < size:
@@ -89,15 +94,20 @@ def char_chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
     def last(piece: Column, c: str) -> Column:
         return F.length(piece) - F.instr(F.reverse(piece), c)
 
-    def step(s: Column, _i: Column) -> Column:
-        piece = F.substring(text, s["start"] + 1, F.lit(size))
+    def ends(piece: Column, start: Column) -> Column:
         line, blank = last(piece, "\n"), last(piece, " ")
         has_line = (F.instr(piece, "\n") > 0) & (line > size // 2)
         has_blank = (F.instr(piece, " ") > 0) & (blank > size // 2)
-        end = F.when(s["start"] + size >= n, s["start"] + size).otherwise(s["start"] + F.when(has_line, line + 1).when(has_blank, blank + 1).otherwise(size))
-        chunk = strip(F.substring(text, s["start"] + 1, end - s["start"]))
+        return F.when(start + size >= n, start + size).otherwise(start + F.when(has_line, line + 1).when(has_blank, blank + 1).otherwise(size))
+
+    def taken(s: Column, end: Column, chunk: Column) -> Column:
         out = F.when(chunk == "", s["out"]).otherwise(F.concat(s["out"], F.array(chunk)))
-        return F.when(s["start"] >= n, s).otherwise(F.struct(F.when(end - overlap > s["start"], end - overlap).otherwise(end).cast("int").alias("start"), out.alias("out")))
+        return F.struct(F.when(end - overlap > s["start"], end - overlap).otherwise(end).cast("int").alias("start"), out.alias("out"))
+
+    def step(s: Column, _i: Column) -> Column:
+        cut = _let(F.substring(text, s["start"] + 1, F.lit(size)), lambda piece: ends(piece, s["start"]))
+        new = _let(cut, lambda end: _let(strip(F.substring(text, s["start"] + 1, end - s["start"])), lambda chunk: taken(s, end, chunk)))
+        return F.when(s["start"] >= n, s).otherwise(new)
 
     return F.when(n <= size, F.array(text)).otherwise(F.aggregate(turns, state, step, lambda s: s["out"]))
 

@@ -61,6 +61,12 @@ def error_codes(text: Column) -> Column:
 
 
 def log_phrases(text: Column) -> Column:
+    """Sorted log phrases in lower case. One pass tells whether there are any; only then each is looked for by itself."""
+    some = text.rlike("(?i)" + "|".join(LOG_PHRASES))
+    return F.when(~some, F.array().cast("array<string>")).otherwise(_log_phrases(text))
+
+
+def _log_phrases(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.transform(matches(text, f"(?i){p}"), F.lower) for p in LOG_PHRASES]))))
 
 

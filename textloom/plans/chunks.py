@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as K
 from ..operators import code as Code
-from ..session import read
+from ..session import read, spread
 from .documents import _STRIP, _TABLE
 
 QUERIES = {}
@@ -20,7 +20,7 @@ def query(f):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", "text")
+    return spread(read(spark, d, "documents").select("doc_id", "text"))
 
 
 def _numbered(lists: str) -> str:

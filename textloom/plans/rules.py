@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extraction as X
-from ..session import read
+from ..session import read, spread
 
 QUERIES = {}
 SQL = {}
@@ -18,7 +18,7 @@ def query(f):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return spread(read(spark, d, "documents").where("text is not null").select("doc_id", "text"))
 
 
 def _sql(values) -> str:
