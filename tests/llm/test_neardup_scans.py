@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from textloom.llm import neardup as N
@@ -85,6 +86,16 @@ def test_blocks_meet_all_pairs(spark, monkeypatch):
     assert len(chosen) == len(h) and (need >= 1).all()
 
 
+@pytest.mark.parametrize("other_class", [0, 1])
+def test_prefixes_guarantee_the_smaller_need(other_class):
+    """16 shared tokens where one text needs 15 and the other, for its dear tokens, 23; tokens of another class do not count."""
+    key = np.tile(np.arange(16, dtype=np.uint32), 2)
+    need = N.packed(np.repeat([15, 23], 16), np.repeat([3, 3 - other_class], 16), np.full(32, 2))
+    part = {"key": key, "id": np.repeat(np.array([7, 9]), 16), "size": np.full(32, 1_600, np.uint16), "need": need}
+    got = N.meet(pd.DataFrame({k: [v.tobytes()] for k, v in part.items()}), 0.7)
+    assert got[got["n"] >= got["need"]][["a", "b"]].values.tolist() == ([] if other_class else [[7, 9]])
+
+
 def page(n, header, body):
     return "\n".join([header, "", *body, "", f"- {n} -"])
 

@@ -187,6 +187,11 @@ def prefixes(h: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
     return chosen[back], np.repeat(need, n)[back], count[back]
 
 
+def packed(need: np.ndarray, kind: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Need (as far as 12 bits go: a smaller one loses no pair), class of window and block's side in 16 bits."""
+    return (np.minimum(need, 4095) * 16 + kind * 4 + side).astype(np.uint16)
+
+
 def postings(reps: DataFrame, table, parts: int) -> DataFrame:
     """part, and as bytes the tokens, texts, sizes, and needs with blocks' sides of the prefix tokens that fall into it."""
 
@@ -196,7 +201,7 @@ def postings(reps: DataFrame, table, parts: int) -> DataFrame:
             if not len(h):
                 continue
             chosen, need, count = prefixes(h, at, table.value)
-            h, at, need, count = h[chosen], at[chosen] & ((1 << 40) - 1), need[chosen], count[chosen]
+            h, at, kind, need, count = h[chosen], at[chosen] & ((1 << 40) - 1), at[chosen] >> 40, need[chosen], count[chosen]
             blocks = np.maximum(1, -(-count // BLOCK))
             own = (mix(ids.astype(np.uint64))[at] % blocks.astype(np.uint64)).astype(np.int64)
             rep = np.repeat(np.arange(len(h)), blocks)
@@ -209,7 +214,7 @@ def postings(reps: DataFrame, table, parts: int) -> DataFrame:
             rep = rep[order]
             cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
             # Within a part 32 bits tell tokens apart; where they do not, verification drops the pair.
-            cols = ((key[order] >> np.uint64(32)).astype(np.uint32), ids[at[rep]], np.minimum(grams_n[at[rep]], 65535).astype(np.uint16), (need[rep] * 4 + across[order]).astype(np.uint8))
+            cols = ((key[order] >> np.uint64(32)).astype(np.uint32), ids[at[rep]], np.minimum(grams_n[at[rep]], 65535).astype(np.uint16), packed(need[rep], kind[rep], across[order]))
             stops = np.append(cuts[1:], len(rep))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part[order][cuts].astype(np.int32)), *(pa.array([c[a:b].tobytes() for a, b in zip(cuts, stops)], pa.binary()) for c in cols)],
@@ -220,9 +225,12 @@ def postings(reps: DataFrame, table, parts: int) -> DataFrame:
 
 
 def meet(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of texts that share tokens of one part: a < b, tokens shared, tokens needed."""
-    key, ids, size, need = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("key", np.uint32), ("id", np.int64), ("size", np.uint16), ("need", np.uint8)))
-    size, side, need = size.astype(np.int64), need & 3, need >> 2
+    """Pairs of texts that share tokens of one part: a < b, class of window, tokens shared, tokens needed.
+
+    Two prefixes guarantee the smaller of their needs, in each class of window by itself.
+    """
+    key, ids, size, need = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("key", np.uint32), ("id", np.int64), ("size", np.uint16), ("need", np.uint16)))
+    size, side, kind, need = size.astype(np.int64), need & 3, need >> 2 & 3, need >> 4
     order = np.lexsort((ids, size, key))
     key = key[order]
     single = np.ones(len(key), bool)
@@ -230,25 +238,25 @@ def meet(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     single[1:] &= ~same
     single[:-1] &= ~same
     order, key = order[~single], key[~single]
-    ids, size, need, side = ids[order], size[order], need[order], side[order]
+    ids, size, kind, need, side = ids[order], size[order], kind[order], need[order], side[order]
     out, offset = [], 1
     alive = np.arange(len(key))
     while len(alive):
         alive = alive[alive + offset < len(key)]
         alive = alive[(key[alive] == key[alive + offset]) & (size[alive] >= least * size[alive + offset] - 1)]
         other = alive + offset
-        good = (ids[alive] != ids[other]) & ((side[alive] == 2) | (side[alive] != side[other]))
+        good = (ids[alive] != ids[other]) & (kind[alive] == kind[other]) & ((side[alive] == 2) | (side[alive] != side[other]))
         a, b = alive[good], other[good]
         if len(a):
-            out.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.maximum(need[a], need[b]).astype(np.int64)]))
+            out.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), kind[a].astype(np.int64), np.minimum(need[a], need[b]).astype(np.int64)]))
         offset += 1
     if not out:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "need": np.zeros(0, np.int64)})
-    a, b, need = np.concatenate(out, axis=1)
-    order = np.lexsort((b, a))
-    a, b, need = a[order], b[order], need[order]
-    begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    return pd.DataFrame({"a": a[begin], "b": b[begin], "n": np.diff(np.append(begin, len(a))), "need": need[begin]})
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "kind", "n", "need")})
+    a, b, kind, need = np.concatenate(out, axis=1)
+    order = np.lexsort((kind, b, a))
+    a, b, kind, need = a[order], b[order], kind[order], need[order]
+    begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])))
+    return pd.DataFrame({"a": a[begin], "b": b[begin], "kind": kind[begin], "n": np.diff(np.append(begin, len(a))), "need": need[begin]})
 
 
 def substrings(text: str) -> set[str]:
@@ -282,8 +290,8 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     spark = reps.sparkSession
     table = spark.sparkContext.broadcast(token_table(reps))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * 25 // 2_000_000)
-    found = postings(reps, table, parts).repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: meet(pdf, threshold), "a long, b long, n long, need long")
-    candidates = staged(found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b"), "candidates")
+    found = postings(reps, table, parts).repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: meet(pdf, threshold), "a long, b long, kind long, n long, need long")
+    candidates = staged(found.groupBy("a", "b", "kind").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").distinct(), "candidates")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
