@@ -59,6 +59,22 @@ def test_pairs_against_brute_force(spark, seed):
         assert groups[s, a].group_id == groups[s, b].group_id
 
 
+@pytest.mark.parametrize("size", [110, 180, 330, 600])
+def test_scattered_edits_against_brute_force(spark, size):
+    """One character changed in every 22 or so, which leaves hardly a long window whole: all pairs are found, wherever the edits lie."""
+    rnd = random.Random(size)
+    rows = []
+    for i in range(40):
+        text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size))
+        step = rnd.choice([22, 23, 24, 26])
+        at = range(step // 2, size, step) if i % 2 else rnd.sample(range(size), size // step)
+        edited = "".join("ß" if k in set(at) else c for k, c in enumerate(text))
+        rows += [("kb", f"a{i}", text), ("kb", f"b{i}", edited)]
+    members, pairs = N.near_duplicates(spark.createDataFrame(rows, "src string, key string, text string"))
+    want = brute(rows)
+    assert len(want) >= 20 and {(r.src, r.key_a, r.key_b) for r in N.key_pairs(members, pairs).collect()} == want
+
+
 def test_empty_table(spark):
     members, pairs = N.near_duplicates(spark.createDataFrame([], "src string, key string, text string"))
     assert N.key_pairs(members, pairs).count() == 0 and N.record_groups(members, pairs).count() == 0

@@ -9,7 +9,11 @@ Texts are normalised and equal ones become one representative. Candidates come f
   the number of prefix tokens that a partner must share. l is three fifths of s, and one more for each dear token in the prefix,
   one that is estimated to bring many candidates.
 - Tokens meet by hash ranges; a token with more texts than fit is split into blocks that meet pairwise.
-- Pairs that share enough prefix tokens are verified exactly on their sets of substrings of 4 characters.
+- Edits scattered over a text leave few windows whole, so a second pass takes candidates from the sets of substrings of 4
+  characters themselves. Least hashes of a text's set (MinHash, by bins of one hash for longer texts) form bands; texts that
+  agree in all values of a band meet if their sketches, one bit of each value, are similar. A value agrees with the pair's
+  similarity as probability, wherever the edits lie: 50 bands of 5 miss a pair of 0.7 with 0.0001, one of 0.75 with 0.000001.
+- Pairs of either pass are verified exactly on their sets of substrings of 4 characters.
 
 Windows of 4 characters themselves cannot be the prefix tokens here: with a few tens of thousands of frequent substrings
 nearly every prefix holds some, and candidates grow with the square of the collection.
@@ -18,6 +22,7 @@ nearly every prefix holds some, and candidates grow with the square of the colle
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +38,12 @@ CLASSES = ((0, 130, 1, 16, 0.25), (90, 200, 2, 20, 0.25), (140, 400, 4, 32, 0.25
 #: Entries of the table of token counts, and the texts of one token that meet in one block.
 TABLE_BITS, BLOCK = 20, 4_000
 SLICES = 16
+#: By number of substrings, as above: least, largest, bins of one round of hashing (a similar text leaves hardly a bin empty).
+ROUNDS = ((0, 130, 1), (90, 200, 16), (140, 400, 32), (280, 1 << 40, 64))
+#: Passes with hashes and a shuffle of their own, least hashes of a text in each, its bands and the values of one.
+PASSES, VALUES, BANDS, BAND = 2, 192, 25, 5
+#: How many sketch bits, one of each value, may differ: in texts of similarity 0.7 it is 28.8, with a deviation of 4.9.
+DIFFER = 50
 #: Characters that a task handles at once.
 CHUNK = 1_500_000
 _BASE = 0x9E3779B97F4A7C15
@@ -259,6 +270,77 @@ def meet(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": a[begin], "b": b[begin], "kind": kind[begin], "n": np.diff(np.append(begin, len(a))), "need": need[begin]})
 
 
+def least_hashes(texts: list[str], turn: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Class, texts of it, and least hashes of each one's substrings of 4 characters. An empty bin has the largest number."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter(map(len, texts), np.int64, len(texts)))
+    grams, of = windows(codes.astype(np.uint64), owner, 4)
+    keyed = np.sort((of.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
+    first = np.ones(len(keyed), bool)
+    first[1:] = keyed[1:] != keyed[:-1]
+    grams_n = np.bincount((keyed[first] >> np.uint64(44)).astype(np.int64), minlength=len(texts))
+    for k, (low, high, bins) in enumerate(ROUNDS):
+        member = (grams_n >= max(low, 1)) & (grams_n <= high)
+        if not member.any():
+            continue
+        mine = member[of]
+        h, at = grams[mine], (np.cumsum(member) - 1)[of[mine]] * bins
+        values = np.full((VALUES // bins, int(member.sum()) * bins), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        odd = np.random.default_rng([turn, k]).integers(0, 1 << 64, len(values), np.uint64, False) | np.uint64(1)
+        for n in range(len(values)):
+            v = h * odd[n]
+            v ^= v >> np.uint64(32)
+            np.minimum.at(values[n], at + (v & np.uint64(bins - 1)).astype(np.int64), v)
+        yield k, np.flatnonzero(member), np.ascontiguousarray(values.reshape(len(values), -1, bins).transpose(1, 0, 2).reshape(-1, VALUES))
+
+
+def bands(reps: DataFrame, turn: int, parts: int) -> DataFrame:
+    """part, and as bytes the keys, texts and sketches of the bands of this turn that fall into it."""
+    numbers = np.arange(BANDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, salts in text_chunks(batches):
+            for k, at, values in least_hashes(texts, turn):
+                sketch = np.packbits((values >> np.uint64(12) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
+                key = mix(salts[at, None] * np.uint64(_BASE) + ((turn * BANDS + numbers) * 4 + k + 1).astype(np.uint64))
+                for j in range(BAND):
+                    key = mix((key ^ values[:, numbers * BAND + j]) * np.uint64(_BASE))
+                key, rep = key.ravel(), np.repeat(np.arange(len(at)), len(numbers))
+                part = (key % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                rep, part = rep[order], part[order]
+                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                stops = np.append(cuts[1:], len(rep))
+                cols = ((key[order] >> np.uint64(32)).astype(np.uint32), ids[at[rep]], sketch[rep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[cuts].astype(np.int32)), *(pa.array([c[a:b].tobytes() for a, b in zip(cuts, stops)], pa.binary()) for c in cols)],
+                    names=["part", "key", "id", "sketch"],
+                )
+
+    return reps.select("id", "text", "salt").mapInArrow(run, "part int, key binary, id binary, sketch binary")
+
+
+def agree(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of texts, a < b, that have a band of one part in common and similar sketches."""
+    key, ids, sketch = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("key", np.uint32), ("id", np.int64), ("sketch", np.uint64)))
+    order = np.argsort(key)
+    key, ids, sketch = key[order], ids[order], sketch.reshape(len(key), -1)[order]
+    out, offset = [np.zeros((0, 2), np.int64)], 1
+    alive = np.arange(len(key))
+    while len(alive):
+        alive = alive[alive + offset < len(key)]
+        alive = alive[key[alive] == key[alive + offset]]
+        other = alive + offset
+        good = (ids[alive] != ids[other]) & (np.bitwise_count(sketch[alive] ^ sketch[other]).sum(axis=1) <= DIFFER)
+        a, b = ids[alive[good]], ids[other[good]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        offset += 1
+    pairs = np.concatenate(out)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    once = np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)]
+    return pd.DataFrame(pairs[once], columns=["a", "b"])
+
+
 def substrings(text: str) -> set[str]:
     return {text[i : i + 4] for i in range(len(text) - 3)}
 
@@ -291,7 +373,9 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     table = spark.sparkContext.broadcast(token_table(reps))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * 25 // 2_000_000)
     found = postings(reps, table, parts).repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: meet(pdf, threshold), "a long, b long, kind long, n long, need long")
-    candidates = staged(found.groupBy("a", "b", "kind").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").distinct(), "candidates")
+    by_windows = staged(found.groupBy("a", "b", "kind").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").distinct(), "candidates")
+    by_bands = [staged(bands(reps, turn, parts).repartition(parts, "part").groupBy("part").applyInPandas(agree, "a long, b long"), "candidates") for turn in range(PASSES)]
+    candidates = staged(reduce(DataFrame.unionByName, by_bands, by_windows).distinct(), "candidates")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
