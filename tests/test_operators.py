@@ -141,6 +141,22 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert got == {(r.node_id, r.text) for r in S.reingest(S.latest(first), second).collect()} == {("a", "2"), ("c", "1")}
 
 
+def test_sessions_do_not_depend_on_order(spark, tmp_path):
+    """One user with more rows than an Arrow batch holds, in no order of time, in several files and micro-batches."""
+    from textloom.plans import streams
+
+    times = [k * 1_000 + (k // 1_000) * 5_000 for k in range(25_000)]
+    late = [times[k * 7_919 % len(times)] for k in range(len(times))]
+    for part in (late[:24_000], late[24_000:]):
+        rows = spark.createDataFrame([(1, t) for t in part] + [(2, 0)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = streams.stream_sessions(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(1, 25, 25_000), (2, 1, 2)}
+    first = I.sessions(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events.parquet")))
+    updates = I.run_to_end(first, "update", "sessions").where("user_id = 1").orderBy("events").collect()
+    assert len(updates) == 2 and (updates[-1].sessions, updates[-1].events) == (25, 25_000)
+
+
 def test_code(spark):
     from textloom.operators import code
 

@@ -35,7 +35,7 @@ SQL["stream_windows"] = "select epoch(date_trunc('hour', ts))::bigint as hour, e
 @query
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     done = S.run_to_end(S.sessions(stream(spark, d, "events")), "update", "sessions")
-    return done.groupBy("user_id").agg(F.max("sessions").alias("sessions"), F.max("events").alias("events"))
+    return done.groupBy("user_id").agg(F.max_by("sessions", "events").alias("sessions"), F.max("events").alias("events"))
 
 
 SQL["stream_sessions"] = "select user_id, (sum((epoch_us(ts) - coalesce(p, -1e18) > 1800e6)::int))::int sessions, count(*)::int events from (select *, epoch_us(lag(ts) over (partition by user_id order by ts)) p from events) group by 1"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,21 +60,34 @@ def run_to_end(result: DataFrame, mode: str, what: str) -> DataFrame:
 
 
 SESSION = "user_id long, sessions int, events int, last double"
+GAP = 1800
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals joined wherever the gap between them is no longer than GAP, in order of time."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    begins = np.append(True, starts[1:] - ends[:-1] > GAP)[: len(starts)]
+    return starts[begins], ends[np.append(begins[1:], True)[: len(starts)]]
 
 
 def count_sessions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Running numbers of sessions and events of a user; a gap of over 30 minutes begins a session."""
-    sessions, events, last = state.get if state.exists else (0, 0, -1e18)
+    """Numbers of sessions and events of a user so far; a gap of over 30 minutes begins a session.
+
+    The state holds the sessions' intervals, so events may come in any order, in any batches. Events without a time count
+    as events only.
+    """
+    events, starts, ends = state.get if state.exists else (0, [], [])
+    starts, ends = np.array(starts, float), np.array(ends, float)
     for pdf in batches:
-        for t in sorted(pdf["t"]):
-            sessions += t - last > 1800
-            events += 1
-            last = max(last, t)
-    state.update((int(sessions), int(events), float(last)))
-    yield pd.DataFrame({"user_id": [key[0]], "sessions": [int(sessions)], "events": [int(events)], "last": [float(last)]})
+        t = pdf["t"].dropna().to_numpy(float)
+        events += len(pdf)
+        starts, ends = merged(np.append(starts, t), np.append(ends, t))
+    state.update((int(events), starts.tolist(), ends.tolist()))
+    yield pd.DataFrame({"user_id": [key[0]], "sessions": [len(starts)], "events": [int(events)], "last": [float(ends[-1]) if len(ends) else None]})
 
 
 def sessions(events: DataFrame) -> DataFrame:
     """user_id, sessions, events, last: state per user kept by the stream."""
     timed = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t")).withColumn("t", F.col("t") / 1e6)
-    return timed.groupBy("user_id").applyInPandasWithState(count_sessions, SESSION, "sessions int, events int, last double", "update", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("user_id").applyInPandasWithState(count_sessions, SESSION, "events int, starts array<double>, ends array<double>", "update", GroupStateTimeout.NoTimeout)
