@@ -101,6 +101,12 @@ def test_context_stops_at_first_overflow(spark):
     assert X.within_budget(r, 20, False).collect()[0].context == "aaaa"
 
 
+def test_context_of_a_first_text_that_does_not_fit(spark):
+    r = spark.createDataFrame([(1, 1, "a" * 50), (1, 2, "c"), (2, 1, "b")], "query_id long, rank int, text string")
+    assert sorted(tuple(x) for x in X.within_budget(r, 20, False, keep_empty=True).collect()) == [(1, "", 0), (2, "b", 1)]
+    assert [tuple(x) for x in X.within_budget(r, 20, False).collect()] == [(2, "b", 1)]
+
+
 def test_conversation_windows_in_closed_form(spark):
     rows = spark.createDataFrame([("c", t) for t in range(1, 40)], "conv string, turn int")
     got = {r.turn: (r.summaries, r.kept) for r in X.windows(rows, "conv", 6, 2).collect()}

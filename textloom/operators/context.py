@@ -9,17 +9,20 @@ from pyspark.sql.window import Window as W
 from ..functions.ranks import numbered_within
 
 
-def within_budget(results: DataFrame, budget: int, dressed: bool) -> DataFrame:
+def within_budget(results: DataFrame, budget: int, dressed: bool, keep_empty: bool = False) -> DataFrame:
     """query_id, context, used: texts in order of rank as long as all of them fit the budget of characters.
 
     The first that does not fit ends the context, even if later ones would fit. Dressed texts are numbered and count
-    with their number and the blank line between them.
+    with their number and the blank line between them. A query whose first text does not fit has no row, or with keep_empty
+    an empty context.
     """
     piece = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text")) if dressed else F.col("text")
     w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    sized = results.withColumn("piece", piece).withColumn("size", F.length("piece") + (2 if dressed else 0)).withColumn("total", F.sum("size").over(w)).where(F.col("total") <= budget)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"])
-    return sized.groupBy("query_id").agg(F.array_join(ordered, "\n\n").alias("context"), F.count("*").alias("used"))
+    sized = results.withColumn("piece", piece).withColumn("size", F.length("piece") + (2 if dressed else 0)).withColumn("total", F.sum("size").over(w))
+    fits = F.col("total") <= budget
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(fits, F.struct("rank", "piece")))), lambda x: x["piece"])
+    contexts = sized.groupBy("query_id").agg(F.array_join(ordered, "\n\n").alias("context"), F.count(F.when(fits, 1)).alias("used"))
+    return contexts if keep_empty else contexts.where("used > 0")
 
 
 # The answer prompt.

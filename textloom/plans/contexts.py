@@ -47,6 +47,15 @@ def context_truncate(spark: SparkSession, d: str) -> DataFrame:
 SQL["context_truncate"] = _budget("text", "length(piece)", 8000)
 
 
+@query
+def context_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As context_truncate with the reference's budget of 80 000; a query whose first text does not fit has an empty context."""
+    return X.within_budget(ranked_texts(spark, d), 80_000, False, keep_empty=True)
+
+
+SQL["context_whole"] = f"select query_id, coalesce(context, '') context, coalesce(used, 0) used from (select distinct query_id from {_RANKED}) left join ({_budget('text', 'length(piece)', 80_000)}) using (query_id)"
+
+
 @query
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     c = context_budget(spark, d).join(Q.asked(spark, d), "query_id")
