@@ -45,7 +45,6 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pairs_against_brute_force(spark, seed):
-    """No pair too many; edits as dense as these, in both texts of a pair, may cost a pair near the threshold."""
     rows = corpus(seed) + [("kb", "n1", None), ("kb", None, "x" * 200), ("kb", "n2", ""), ("kb", "n3", "短" * 150), ("kb", "n4", "短" * 160), ("kb", "n5", "😀a" * 80)]
     rows += [rows[0], ("kb", "copy", rows[1][2])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "src string, key string, text string, id string")
@@ -53,7 +52,7 @@ def test_pairs_against_brute_force(spark, seed):
     got = N.key_pairs(members, pairs).collect()
     assert len(got) == len({tuple(r) for r in got})
     found, want = {(r.src, r.key_a, r.key_b) for r in got}, brute(rows)
-    assert found <= want and len(found) >= 0.97 * len(want)
+    assert found == want
     groups = {(r.src, r.key): r for r in N.record_groups(members, pairs).collect()}
     for s, a, b in found:
         assert groups[s, a].group_id == groups[s, b].group_id
@@ -94,22 +93,54 @@ def test_components_are_connected_parts(spark):
     assert {got[i] for i in range(21)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in range(200, 215)} == {200} and len(got) == 39
 
 
-def test_blocks_meet_all_pairs(spark, monkeypatch):
-    texts = [" ".join(np.random.default_rng(i).permutation(WORDS[:30]).tolist()) + " " + " ".join(WORDS[20:]) * 3 for i in range(12)]
-    h, at, _ = N.tokens(texts)
-    table = np.bincount(N.slot(h), minlength=1 << N.TABLE_BITS)
-    chosen, need, _ = N.prefixes(h, at, table)
-    assert len(chosen) == len(h) and (need >= 1).all()
-
-
-@pytest.mark.parametrize("other_class", [0, 1])
-def test_prefixes_guarantee_the_smaller_need(other_class):
-    """16 shared tokens where one text needs 15 and the other, for its dear tokens, 23; tokens of another class do not count."""
-    key = np.tile(np.arange(16, dtype=np.uint32), 2)
-    need = N.packed(np.repeat([15, 23], 16), np.repeat([3, 3 - other_class], 16), np.full(32, 2))
-    part = {"key": key, "id": np.repeat(np.array([7, 9]), 16), "size": np.full(32, 1_600, np.uint16), "need": need}
-    got = N.meet(pd.DataFrame({k: [v.tobytes()] for k, v in part.items()}), 0.7)
-    assert got[got["n"] >= got["need"]][["a", "b"]].values.tolist() == ([] if other_class else [[7, 9]])
+def test_blocks_meet_all_pairs():
+    """Every two texts of a token meet once, however many blocks it is split into; other tokens' texts never do."""
+    n = 50
+    key, count = np.repeat(np.array([5, 6], np.uint32), n), np.repeat([n, 3], n)
+    rep, wide, side = N.in_blocks(key, N.mix(np.arange(2 * n).astype(np.uint64)), count, 8)
+    assert len(rep) == n * 7 + n
+    sketch = np.zeros((len(rep), 2), np.uint64)
+    part = {"key": (wide >> np.uint64(32)).astype(np.uint32), "id": rep.astype(np.int64), "sketch": sketch, "need": (4 + side).astype(np.uint8)}
+    got = N.meet(pd.DataFrame({k: [v.tobytes()] for k, v in part.items()}))
+    assert set(zip(got["a"], got["b"])) == {(i, j) for t in (0, n) for i in range(t, t + n) for j in range(i + 1, t + n)} and (got["n"] == 1).all()
+
+
+@pytest.mark.parametrize("shared", [1, 2])
+def test_prefixes_guarantee_the_smaller_need(shared):
+    """Two texts that both need 2 tokens must share 2; if one needs 1, one is enough."""
+    key = np.tile(np.arange(shared, dtype=np.uint32), 3)
+    need = np.repeat([2, 2, 1], shared) * 4 + 2
+    part = {"key": key, "id": np.repeat(np.array([7, 9, 11]), shared), "sketch": np.zeros((3 * shared, 2), np.uint64), "need": need.astype(np.uint8)}
+    got = N.meet(pd.DataFrame({k: [v.tobytes()] for k, v in part.items()}))
+    want = {(7, 11), (9, 11)} | ({(7, 9)} if shared == 2 else set())
+    assert {(a, b) for a, b, n, m in got.itertuples(index=False) if n >= m} == want
+
+
+def test_dear_texts_have_longer_prefixes():
+    keys = np.random.default_rng(1).integers(0, 1 << 32, (3, N.BANDS), np.uint32, False)
+    table = np.bincount(N.slot(keys[1]), minlength=1 << N.TABLE_BITS) * 500 + 1
+    chosen, need, _ = N.prefixes(keys, table)
+    assert need.tolist() == [1, N.SHARED, 1] and chosen.sum(1).tolist() == [N.BANDS - N.SHARED + 1, N.BANDS, N.BANDS - N.SHARED + 1]
+
+
+@pytest.mark.parametrize("size", [120, 160, 300, 600, 2000, 12000])
+@pytest.mark.parametrize("step", [24, 28, 36, 50])
+def test_evenly_spread_edits(size, step):
+    """One substitution every so many characters, in texts of words: every pair of similarity 0.7 has enough tokens in common."""
+    rnd = random.Random(size + step)
+    texts = []
+    for _ in range(30):
+        text = "".join(rnd.choice(WORDS) + str(rnd.randrange(9999)) + " " for _ in range(size // 8 + 1))[:size]
+        texts += [text, "".join("q" if k % step == step // 2 else c for k, c in enumerate(text))]
+    tokens = {}
+    for k, at, values in N.least_hashes(texts):
+        for i, row in zip(at.tolist(), np.stack([values[:, j :: N.BAND] for j in range(N.BAND)], 2)):
+            tokens.setdefault(i, {})[k] = row
+    for i in range(0, len(texts), 2):
+        a, b = N.substrings(texts[i]), N.substrings(texts[i + 1])
+        if len(a & b) >= 0.7 * len(a | b):
+            both = tokens[i].keys() & tokens[i + 1].keys()
+            assert max((tokens[i][k] == tokens[i + 1][k]).all(1).sum() for k in both) >= N.SHARED
 
 
 def page(n, header, body):

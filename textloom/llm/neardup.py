@@ -2,27 +2,23 @@
 
 Texts are normalised and equal ones become one representative. Candidates come from adaptive multi-match prefixes:
 
-- A text's tokens are a hash-chosen part of its windows of 16 to 50 characters (a Chinese character counts twice), so
-  that equal windows are chosen in every text. Short texts have shorter windows and keep a larger part.
-- Tokens are ordered by how often they occur in the collection, counted in a table of fixed size. Of n tokens two similar
-  texts have at least s in common, so in their rarest n - s + l they share at least l: that is a text's prefix, and l
-  the number of prefix tokens that a partner must share. l is three fifths of s, and one more for each dear token in the prefix,
-  one that is estimated to bring many candidates.
-- Tokens meet by hash ranges; a token with more texts than fit is split into blocks that meet pairwise.
-- Edits scattered over a text leave few windows whole, so a second pass takes candidates from the sets of substrings of 4
-  characters themselves. Least hashes of a text's set (MinHash, by bins of one hash for longer texts) form bands; texts that
-  agree in all values of a band meet if their sketches, one bit of each value, are similar. A value agrees with the pair's
-  similarity as probability, wherever the edits lie: 50 bands of 5 miss a pair of 0.7 with 0.0001, one of 0.75 with 0.000001.
-- Pairs of either pass are verified exactly on their sets of substrings of 4 characters.
-
-Windows of 4 characters themselves cannot be the prefix tokens here: with a few tens of thousands of frequent substrings
-nearly every prefix holds some, and candidates grow with the square of the collection.
+- A text's tokens are 40 bands of 4 values each, where a value is the least hash of one bin of its set of substrings of 4
+  characters. A value is the same in two texts with their sets' similarity as probability, wherever the edits lie.
+- Tokens are ordered by how many texts have them, counted in a table of fixed size. Two texts of similarity 0.7 or more have
+  at least SHARED tokens in common (all but 0.0002 of those at 0.70, all but 0.00006 at 0.72), so in the rarest
+  40 - SHARED + l of each they share at least l: that is a text's prefix, and l the number that a partner must share. A text
+  whose prefix is estimated to bring many candidates has the longer prefix and the larger l.
+- Tokens meet by hash ranges, with a sketch of one bit a value that drops most chance meetings at once; a token with more
+  texts than fit is split into blocks that meet pairwise.
+- Pairs with enough shared tokens are verified exactly on their sets of substrings of 4 characters.
+
+The substrings themselves cannot be the prefix tokens: a prefix of single substrings must hold 0.3 of a text's set, and in
+these tables the rarest 0.3 reach substrings that one text in 14 holds, so that candidates are near all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,18 +28,18 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-#: By number of substrings (any two similar texts lie in one of these): least, largest, one window in so many is a token,
-#: characters of a window, share of its tokens that a text is taken to have in common with a similar one, at least.
-CLASSES = ((0, 130, 1, 16, 0.25), (90, 200, 2, 20, 0.25), (140, 400, 4, 32, 0.25), (280, 1 << 40, 16, 50, 0.2))
 #: Entries of the table of token counts, and the texts of one token that meet in one block.
 TABLE_BITS, BLOCK = 20, 4_000
 SLICES = 16
-#: By number of substrings, as above: least, largest, bins of one round of hashing (a similar text leaves hardly a bin empty).
-ROUNDS = ((0, 130, 1), (90, 200, 16), (140, 400, 32), (280, 1 << 40, 64))
-#: Passes with hashes and a shuffle of their own, least hashes of a text in each, its bands and the values of one.
-PASSES, VALUES, BANDS, BAND = 2, 192, 25, 5
-#: How many sketch bits, one of each value, may differ: in texts of similarity 0.7 it is 28.8, with a deviation of 4.9.
-DIFFER = 50
+#: By number of substrings (any two similar texts lie in one of these): least, largest, bins of one round of hashing.
+CLASSES = ((0, 130, 1), (90, 200, 20), (140, 400, 40), (280, 1 << 40, 80))
+#: Bands of a text, values of each, and bands that two similar texts have in common at least.
+BANDS, BAND, SHARED = 40, 4, 2
+VALUES = BANDS * BAND
+#: Bits of the sketch and how many may differ: in texts of similarity 0.7 it is 19.2, with a deviation of 4.
+SKETCH, DIFFER = 128, 36
+#: A text has the longer prefix if its tokens are held by so many texts on average, beyond the table's noise.
+DEAR = 8
 #: Characters that a task handles at once.
 CHUNK = 1_500_000
 _BASE = 0x9E3779B97F4A7C15
@@ -59,75 +55,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    top = 1 << max(16, (n - 1).bit_length())
-    if top not in _POWERS:
-        _POWERS.clear()
-        made = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            a = np.full(top, b, np.uint64)
-            a[0] = 1
-            made.append(np.multiply.accumulate(a))
-        _POWERS[top] = (made[0], made[1])
-    return _POWERS[top]
-
-
-def windows(units: np.ndarray, owner: np.ndarray, size: int, rate: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of one in `rate` (a power of 2) of the windows that lie in one text, and the text of each; chosen by content."""
+def windows(units: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows that lie in one text, and the text of each."""
     n = len(units) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = powers(len(units) + 1)
-    sums = np.empty(len(units) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(units * up[: len(units)], dtype=np.uint64, out=sums[1:])
-    h = sums[size : size + n] - sums[:n]
-    h *= down[:n]
-    chosen = owner[:n] == owner[size - 1 : size - 1 + n]
-    if rate > 1:
-        chosen &= (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(48)) & np.uint64(rate - 1) == 0
-    at = np.flatnonzero(chosen)
-    return mix(h[at]), owner[at]
-
-
-def tokens(texts: list[str], salts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, text it is of) without repetition, and the number of distinct 4-character substrings of each text.
-
-    Texts with different salts have no tokens in common.
-    """
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter(map(len, texts), np.int64, len(texts)))
-    grams, of = windows(codes.astype(np.uint64), owner, 4)
-    keyed = np.sort((of.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
-    first = np.ones(len(keyed), bool)
-    first[1:] = keyed[1:] != keyed[:-1]
-    grams_n = np.bincount((keyed[first] >> np.uint64(44)).astype(np.int64), minlength=len(texts))
-    wide = (codes >= 0x3400) & (codes <= 0x9FFF)
-    times = np.where(wide, 2, 1)
-    units = np.repeat(codes, times).astype(np.uint64)
-    units[(np.cumsum(times) - 1)[wide]] ^= np.uint64(1 << 31)
-    owner = np.repeat(owner, times)
-    found_h, found_at = [], []
-    for k, (low, high, rate, size, _) in enumerate(CLASSES):
-        member = (grams_n >= low) & (grams_n <= high)
-        if member.any():
-            mine = None if member.all() else np.flatnonzero(member[owner])
-            h, at = windows(units if mine is None else units[mine], owner if mine is None else owner[mine], size, rate)
-            found_h.append(mix(h + np.uint64(k + 1)))
-            found_at.append(at | (k << 40))
-    if not found_h:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), grams_n
-    h, at = np.concatenate(found_h), np.concatenate(found_at)
-    if salts is not None:
-        h = mix(h ^ salts[at & ((1 << 40) - 1)])
-    order = np.lexsort((h, at))
-    h, at = h[order], at[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
-    return h[keep], at[keep], grams_n
+    at = np.flatnonzero(owner[:n] == owner[size - 1 : size - 1 + n])
+    h = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        h = (h + units[at + k]) * np.uint64(_BASE)
+        h ^= h >> np.uint64(29)
+    return mix(h), owner[at]
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
@@ -149,17 +87,77 @@ def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield np.array(ids, np.int64), texts, np.array(salts, np.int64).astype(np.uint64)
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def least_hashes(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Class, texts of it, and least hashes of each one's substrings of 4 characters. An empty bin has the largest number."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter(map(len, texts), np.int64, len(texts)))
+    grams, of = windows(codes.astype(np.uint64), owner, 4)
+    keyed = np.sort((of.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
+    first = np.ones(len(keyed), bool)
+    first[1:] = keyed[1:] != keyed[:-1]
+    keyed = keyed[first]
+    of, grams = (keyed >> np.uint64(44)).astype(np.int64), mix(keyed & np.uint64((1 << 44) - 1))
+    grams_n = np.bincount(of, minlength=len(texts))
+    for k, (low, high, bins) in enumerate(CLASSES):
+        member = (grams_n >= max(low, 1)) & (grams_n <= high)
+        if not member.any():
+            continue
+        mine = None if member.all() else np.flatnonzero(member[of])
+        h = grams if mine is None else grams[mine]
+        at = (np.cumsum(member) - 1)[of if mine is None else of[mine]] * bins
+        rounds = VALUES // bins
+        values = np.full((rounds, int(member.sum()) * bins), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        odd = np.random.default_rng(k).integers(0, 1 << 64, rounds, np.uint64, False) | np.uint64(1)
+        for n in range(rounds):
+            v = h * odd[n]
+            v ^= v >> np.uint64(32)
+            np.minimum.at(values[n], at + ((v & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), v)
+        yield k, np.flatnonzero(member), values.reshape(rounds, -1, bins).transpose(1, 0, 2).reshape(-1, VALUES)
+
+
+def signatures(reps: DataFrame) -> DataFrame:
+    """id, and as bytes the tokens and the sketch of each text, once for each of its classes.
+
+    Tokens are numbers of 32 bits; sources with different salts, classes and bands have different ones, and where two
+    happen to be equal, sketches and verification tell texts apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, salts in text_chunks(batches):
+            for k, at, values in least_hashes(texts):
+                sketch = np.packbits((values[:, :SKETCH] >> np.uint64(12) & np.uint64(1)).astype(np.uint8), axis=1)
+                key = mix(salts[at, None] * np.uint64(_BASE) + (np.arange(BANDS) * 4 + k + 1).astype(np.uint64))
+                for j in range(BAND):
+                    key = mix((key ^ values[:, j::BAND]) * np.uint64(_BASE))
+                keys = (key >> np.uint64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), rows_of(keys), rows_of(sketch)], names=["id", "keys", "sketch"])
+
+    return staged(reps.select("id", "text", "salt").mapInArrow(run, "id long, keys binary, sketch binary"), "signatures")
+
+
+def rows_of(table: np.ndarray) -> pa.Array:
+    """Each row of a table as bytes."""
+    data = np.ascontiguousarray(table)
+    width = data.shape[1] * data.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer((np.arange(len(data) + 1) * width).astype(np.int32)), pa.py_buffer(data)])
 
 
-def token_table(reps: DataFrame) -> np.ndarray:
+def table_of(column: pa.Array, kind) -> np.ndarray:
+    """Bytes of equal length as the rows of a table."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def slot(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
+
+
+def token_table(signed: DataFrame) -> np.ndarray:
     """How many texts have a token in each slot of a table of fixed size; summed in tasks, then by slices of the table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << TABLE_BITS, np.int64)
-        for _, texts, salts in text_chunks(batches):
-            total += np.bincount(slot(tokens(texts, salts)[0]), minlength=len(total))
+        for b in batches:
+            total += np.bincount(slot(table_of(b.column(0), np.uint32)).ravel(), minlength=len(total))
         parts = [p.astype(np.uint32).tobytes() for p in np.split(total, SLICES)]
         group = int(np.random.default_rng().integers(64))
         yield pa.RecordBatch.from_arrays([pa.array([group] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["team", "slice", "n"])
@@ -169,7 +167,7 @@ def token_table(reps: DataFrame) -> np.ndarray:
         return pd.DataFrame({"team": [0], "slice": [pdf["slice"].iat[0]], "n": [total.tobytes()]})
 
     schema = "team int, slice int, n binary"
-    summed = reps.select("id", "text", "salt").mapInArrow(count, schema).groupBy("team", "slice").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    summed = signed.select("keys").mapInArrow(count, schema).groupBy("team", "slice").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
     out = np.zeros(1 << TABLE_BITS, np.int64)
     for r in summed.collect():
         k = r["slice"] * (len(out) // SLICES)
@@ -178,218 +176,142 @@ def token_table(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(h: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which tokens (given text by text) are in their text's prefix, how many of them a partner must share, and their counts."""
-    count = table[slot(h)]
-    noise = table[table > 0].mean() if (table > 0).any() else 0.0
-    order = np.lexsort((h, count, at))
-    h, at, count = h[order], at[order], count[order]
-    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    n = np.diff(np.append(begin, len(at)))
-    rank = np.arange(len(at)) - np.repeat(begin, n)
-    shared = np.ceil(np.array([c[4] for c in CLASSES])[at[begin] >> 40] * n).astype(np.int64)
-    plain = n - shared + 1
-    dear = (rank < np.repeat(plain, n)) & (count > 50 + 4 * noise)
-    dears = np.add.reduceat(dear.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-    need = np.maximum(1, 3 * shared // 5) + np.minimum(dears, np.minimum(shared // 3, 30))
-    chosen = rank < np.repeat(np.minimum(plain + need - 1, n), n)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return chosen[back], np.repeat(need, n)[back], count[back]
+def prefixes(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' tokens (one row a text): which are in their text's prefix, how many of them a partner must share, their counts."""
+    count = table[slot(keys)]
+    noise = table.sum() / len(table)
+    order = np.lexsort((keys, count), axis=1)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(keys.shape[1]), order.shape), axis=1)
+    least = keys.shape[1] - SHARED
+    cost = np.where(rank <= least, count, 0).sum(1) / (least + 1) - noise
+    need = np.where(cost > DEAR, SHARED, 1)
+    return rank < (least + need)[:, None], need, count
 
 
-def packed(need: np.ndarray, kind: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Need (as far as 12 bits go: a smaller one loses no pair), class of window and block's side in 16 bits."""
-    return (np.minimum(need, 4095) * 16 + kind * 4 + side).astype(np.uint16)
+def in_blocks(key: np.ndarray, chance: np.ndarray, count: np.ndarray, size: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which posting goes to which meeting, as its place, a number of token and pair of blocks, and its side of that pair.
 
+    Texts of a token with more than `size` are dealt into blocks; every two blocks meet, and each block meets itself. Side 2
+    meets all, sides 0 and 1 each other.
+    """
+    blocks = np.maximum(1, -(-count // (size or BLOCK)))
+    own = (chance % blocks.astype(np.uint64)).astype(np.int64)
+    rep = np.repeat(np.arange(len(key)), blocks)
+    other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    low, high = np.minimum(own[rep], other), np.maximum(own[rep], other)
+    wide = mix(key[rep].astype(np.uint64) + (low.astype(np.uint64) << np.uint64(32)) + high.astype(np.uint64) * np.uint64(_BASE))
+    return rep, wide, np.where(low == high, 2, (own[rep] == high).astype(np.int64))
 
-def postings(reps: DataFrame, table, parts: int) -> DataFrame:
-    """part, and as bytes the tokens, texts, sizes, and needs with blocks' sides of the prefix tokens that fall into it."""
+
+def postings(signed: DataFrame, table, parts: int) -> DataFrame:
+    """part, and as bytes the tokens, texts, sketches, and needs with blocks' sides of the prefix tokens that fall into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, salts in text_chunks(batches):
-            h, at, grams_n = tokens(texts, salts)
-            if not len(h):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            chosen, need, count = prefixes(h, at, table.value)
-            h, at, kind, need, count = h[chosen], at[chosen] & ((1 << 40) - 1), at[chosen] >> 40, need[chosen], count[chosen]
-            blocks = np.maximum(1, -(-count // BLOCK))
-            own = (mix(ids.astype(np.uint64))[at] % blocks.astype(np.uint64)).astype(np.int64)
-            rep = np.repeat(np.arange(len(h)), blocks)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            low, high = np.minimum(own[rep], other), np.maximum(own[rep], other)
-            key = mix(h[rep] + (low.astype(np.uint64) << np.uint64(20)) + high.astype(np.uint64) * np.uint64(_BASE))
-            across = np.where(low == high, 2, (own[rep] == high).astype(np.int64)).astype(np.int8)
-            part = (key % np.uint64(parts)).astype(np.int64)
+            ids, keys, sketch = np.asarray(b.column(0), np.int64), table_of(b.column(1), np.uint32), table_of(b.column(2), np.uint64)
+            chosen, need, count = prefixes(keys, table.value)
+            at, _ = np.nonzero(chosen)
+            key = keys[chosen]
+            rep, wide, across = in_blocks(key, mix(ids.astype(np.uint64))[at], count[chosen])
+            part = (wide % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            rep = rep[order]
             cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
-            # Within a part 32 bits tell tokens apart; where they do not, verification drops the pair.
-            cols = ((key[order] >> np.uint64(32)).astype(np.uint32), ids[at[rep]], np.minimum(grams_n[at[rep]], 65535).astype(np.uint16), packed(need[rep], kind[rep], across[order]))
-            stops = np.append(cuts[1:], len(rep))
+            stops, of = np.append(cuts[1:], len(rep)), at[rep[order]]
+            cols = ((wide[order] >> np.uint64(32)).astype(np.uint32), ids[of], sketch[of], (need[of] * 4 + across[order]).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[order][cuts].astype(np.int32)), *(pa.array([c[a:b].tobytes() for a, b in zip(cuts, stops)], pa.binary()) for c in cols)],
-                names=["part", "key", "id", "size", "need"],
+                [pa.array(part[order][cuts].astype(np.int32)), *(pa.array([c[i:j].tobytes() for i, j in zip(cuts, stops)], pa.binary()) for c in cols)],
+                names=["part", "key", "id", "sketch", "need"],
             )
 
-    return reps.select("id", "text", "salt").mapInArrow(run, "part int, key binary, id binary, size binary, need binary")
+    return signed.mapInArrow(run, "part int, key binary, id binary, sketch binary, need binary")
 
 
-def meet(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of texts that share tokens of one part: a < b, class of window, tokens shared, tokens needed.
+def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of texts with similar sketches that share tokens of one part: a < b, tokens shared, tokens needed.
 
-    Two prefixes guarantee the smaller of their needs, in each class of window by itself.
+    Two prefixes guarantee the smaller of their needs.
     """
-    key, ids, size, need = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("key", np.uint32), ("id", np.int64), ("size", np.uint16), ("need", np.uint16)))
-    size, side, kind, need = size.astype(np.int64), need & 3, need >> 2 & 3, need >> 4
-    order = np.lexsort((ids, size, key))
+    key, ids, sketch, need = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("key", np.uint32), ("id", np.int64), ("sketch", np.uint64), ("need", np.uint8)))
+    order = np.argsort(key)
     key = key[order]
     single = np.ones(len(key), bool)
     same = key[1:] == key[:-1]
     single[1:] &= ~same
     single[:-1] &= ~same
     order, key = order[~single], key[~single]
-    ids, size, kind, need, side = ids[order], size[order], kind[order], need[order], side[order]
-    out, offset = [], 1
-    alive = np.arange(len(key))
-    while len(alive):
-        alive = alive[alive + offset < len(key)]
-        alive = alive[(key[alive] == key[alive + offset]) & (size[alive] >= least * size[alive + offset] - 1)]
-        other = alive + offset
-        good = (ids[alive] != ids[other]) & (kind[alive] == kind[other]) & ((side[alive] == 2) | (side[alive] != side[other]))
-        a, b = alive[good], other[good]
-        if len(a):
-            out.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), kind[a].astype(np.int64), np.minimum(need[a], need[b]).astype(np.int64)]))
-        offset += 1
-    if not out:
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "kind", "n", "need")})
-    a, b, kind, need = np.concatenate(out, axis=1)
-    order = np.lexsort((kind, b, a))
-    a, b, kind, need = a[order], b[order], kind[order], need[order]
-    begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])))
-    return pd.DataFrame({"a": a[begin], "b": b[begin], "kind": kind[begin], "n": np.diff(np.append(begin, len(a))), "need": need[begin]})
-
-
-def least_hashes(texts: list[str], turn: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Class, texts of it, and least hashes of each one's substrings of 4 characters. An empty bin has the largest number."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter(map(len, texts), np.int64, len(texts)))
-    grams, of = windows(codes.astype(np.uint64), owner, 4)
-    keyed = np.sort((of.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
-    first = np.ones(len(keyed), bool)
-    first[1:] = keyed[1:] != keyed[:-1]
-    grams_n = np.bincount((keyed[first] >> np.uint64(44)).astype(np.int64), minlength=len(texts))
-    for k, (low, high, bins) in enumerate(ROUNDS):
-        member = (grams_n >= max(low, 1)) & (grams_n <= high)
-        if not member.any():
-            continue
-        mine = member[of]
-        h, at = grams[mine], (np.cumsum(member) - 1)[of[mine]] * bins
-        values = np.full((VALUES // bins, int(member.sum()) * bins), 0xFFFFFFFFFFFFFFFF, np.uint64)
-        odd = np.random.default_rng([turn, k]).integers(0, 1 << 64, len(values), np.uint64, False) | np.uint64(1)
-        for n in range(len(values)):
-            v = h * odd[n]
-            v ^= v >> np.uint64(32)
-            np.minimum.at(values[n], at + (v & np.uint64(bins - 1)).astype(np.int64), v)
-        yield k, np.flatnonzero(member), np.ascontiguousarray(values.reshape(len(values), -1, bins).transpose(1, 0, 2).reshape(-1, VALUES))
-
-
-def bands(reps: DataFrame, turn: int, parts: int) -> DataFrame:
-    """part, and as bytes the keys, texts and sketches of the bands of this turn that fall into it."""
-    numbers = np.arange(BANDS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, salts in text_chunks(batches):
-            for k, at, values in least_hashes(texts, turn):
-                sketch = np.packbits((values >> np.uint64(12) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
-                key = mix(salts[at, None] * np.uint64(_BASE) + ((turn * BANDS + numbers) * 4 + k + 1).astype(np.uint64))
-                for j in range(BAND):
-                    key = mix((key ^ values[:, numbers * BAND + j]) * np.uint64(_BASE))
-                key, rep = key.ravel(), np.repeat(np.arange(len(at)), len(numbers))
-                part = (key % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                rep, part = rep[order], part[order]
-                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                stops = np.append(cuts[1:], len(rep))
-                cols = ((key[order] >> np.uint64(32)).astype(np.uint32), ids[at[rep]], sketch[rep])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[cuts].astype(np.int32)), *(pa.array([c[a:b].tobytes() for a, b in zip(cuts, stops)], pa.binary()) for c in cols)],
-                    names=["part", "key", "id", "sketch"],
-                )
-
-    return reps.select("id", "text", "salt").mapInArrow(run, "part int, key binary, id binary, sketch binary")
-
-
-def agree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of texts, a < b, that have a band of one part in common and similar sketches."""
-    key, ids, sketch = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("key", np.uint32), ("id", np.int64), ("sketch", np.uint64)))
-    order = np.argsort(key)
-    key, ids, sketch = key[order], ids[order], sketch.reshape(len(key), -1)[order]
-    out, offset = [np.zeros((0, 2), np.int64)], 1
+    ids, sketch, side, need = ids[order], sketch.reshape(-1, SKETCH // 64)[order], need[order] & 3, need[order] >> 2
+    words = [np.ascontiguousarray(sketch[:, j]) for j in range(sketch.shape[1])]
+    out, offset = [np.zeros((3, 0), np.int64)], 1
     alive = np.arange(len(key))
     while len(alive):
-        alive = alive[alive + offset < len(key)]
+        alive = alive[alive < len(key) - offset]
         alive = alive[key[alive] == key[alive + offset]]
-        other = alive + offset
-        good = (ids[alive] != ids[other]) & (np.bitwise_count(sketch[alive] ^ sketch[other]).sum(axis=1) <= DIFFER)
-        a, b = ids[alive[good]], ids[other[good]]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        differ = sum(np.bitwise_count(w[alive] ^ w[alive + offset]) for w in words)
+        a = alive[differ <= DIFFER]
+        b = a + offset
+        good = (ids[a] != ids[b]) & ((side[a] == 2) | (side[a] != side[b]))
+        a, b = a[good], b[good]
+        out.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.minimum(need[a], need[b]).astype(np.int64)]))
         offset += 1
-    pairs = np.concatenate(out)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    once = np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)]
-    return pd.DataFrame(pairs[once], columns=["a", "b"])
+    a, b, need = np.concatenate(out, axis=1)
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    return pd.DataFrame({"a": a[begin], "b": b[begin], "n": np.diff(np.append(begin, len(a))), "need": np.minimum.reduceat(need, begin) if len(a) else need})
 
 
 def substrings(text: str) -> set[str]:
     return {text[i : i + 4] for i in range(len(text) - 3)}
 
 
-def gram_sets(texts: list[str]) -> list[np.ndarray]:
-    """The distinct substrings of 4 characters of each text, each as one number of its 4 characters.
+def gram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct substrings of 4 characters of all texts, text by text and sorted, as numbers; and where each text begins.
 
-    Comparable within one call: characters beyond 16 bits are numbered by those that occur in it.
+    Numbers are comparable within one call: the characters that occur in it are numbered, in fewer bits than 16 each.
     """
-    out: list[np.ndarray] = []
-    for part in [texts]:
-        codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        sizes = np.fromiter(map(len, part), np.int64, len(part))
-        if not len(codes):
-            out += [np.zeros(0, np.uint64)] * len(part)
-            continue
-        if codes.max() >= 1 << 16:  # four code points need more than 64 bits: number the code points that occur
-            codes = np.unique(codes, return_inverse=True)[1].astype(np.uint64)
-        short = codes
-        n = max(0, len(codes) - 3)
-        grams = (short[:n] << np.uint64(48)) | (short[1 : n + 1] << np.uint64(32)) | (short[2 : n + 2] << np.uint64(16)) | short[3 : n + 3]
-        ends = np.cumsum(sizes)
-        out += [np.unique(grams[a : max(a, b - 3)]) for a, b in zip(ends - sizes, ends)]
-    return out
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    known = np.flatnonzero(np.bincount(codes, minlength=1)) if len(codes) else codes
+    place = np.zeros(int(known[-1]) + 1 if len(known) else 1, np.uint64)
+    place[known] = np.arange(len(known), dtype=np.uint64)
+    short, base = place[codes], np.uint64(max(2, len(known)))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    n = max(0, len(codes) - 3)
+    grams = ((short[:n] * base + short[1 : n + 1]) * base + short[2 : n + 2]) * base + short[3 : n + 3]
+    inside = owner[:n] == owner[3 : n + 3]
+    grams, owner = grams[inside], owner[:n][inside]
+    order = np.lexsort((grams, owner))
+    grams, owner = grams[order], owner[order]
+    first = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))[: len(grams)]
+    return grams[first], np.searchsorted(owner[first], np.arange(len(texts) + 1))
 
 
 def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """reps (id, text, salt), normalised texts, staged, copies under one id; salt keeps sources apart -> a, b, similarity of all similar pairs, a < b."""
     spark = reps.sparkSession
-    table = spark.sparkContext.broadcast(token_table(reps))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * 25 // 2_000_000)
-    found = postings(reps, table, parts).repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: meet(pdf, threshold), "a long, b long, kind long, n long, need long")
-    by_windows = staged(found.groupBy("a", "b", "kind").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").distinct(), "candidates")
-    by_bands = [staged(bands(reps, turn, parts).repartition(parts, "part").groupBy("part").applyInPandas(agree, "a long, b long"), "candidates") for turn in range(PASSES)]
-    candidates = staged(reduce(DataFrame.unionByName, by_bands, by_windows).distinct(), "candidates")
+    signed = signatures(reps)
+    table = token_table(signed)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(table.sum()) // 2_000_000)
+    sent = spark.sparkContext.broadcast(table)
+    found = postings(signed, sent, parts).repartition(parts, "part").groupBy("part").applyInPandas(meet, "a long, b long, n long, need long")
+    candidates = staged(found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"), "candidates")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pd.unique(pd.concat([pdf["text_a"], pdf["text_b"]]))
-            place = {t: k for k, t in enumerate(texts)}
-            sets = gram_sets(list(texts))
+            every = pd.concat([pdf["text_a"], pdf["text_b"]], ignore_index=True)
+            which, texts = pd.factorize(every)
+            grams, begin = gram_sets(list(texts))
+            a, b = which[: len(pdf)], which[len(pdf) :]
+            size = np.diff(begin)
             values = np.zeros(len(pdf))
-            for k, (x, y) in enumerate(zip(pdf["text_a"], pdf["text_b"])):
-                s, t = sets[place[x]], sets[place[y]]
-                if min(len(s), len(t)) >= threshold * max(len(s), len(t)):
-                    every = np.concatenate([s, t])
-                    every.sort()
-                    both = np.count_nonzero(every[1:] == every[:-1])
-                    values[k] = both / max(1, len(every) - both)
+            for k in np.flatnonzero(np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])):
+                both = np.concatenate([grams[begin[a[k]] : begin[a[k] + 1]], grams[begin[b[k]] : begin[b[k] + 1]]])
+                both.sort(kind="stable")
+                common = np.count_nonzero(both[1:] == both[:-1])
+                values[k] = common / max(1, len(both) - common)
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": values}, columns=["a", "b", "similarity"])
             yield out[out["similarity"] >= threshold]
 
@@ -427,7 +349,7 @@ def key_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return every.select("src", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """id, root: connected texts have one root, the least id among them. Texts without a pair are not listed.
 
     Alternates between hooking every text and its larger neighbours onto the least, and its smaller ones likewise,
@@ -435,7 +357,7 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     """
     edges = staged(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     last = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
