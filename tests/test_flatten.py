@@ -1,22 +1,88 @@
 """Flat tables of nested records."""
 
 import json
+import random
+
+import pytest
 
 from textloom.operators import flatten as L
 
 
+def json_bodies():
+    rnd = random.Random(5)
+
+    def value(depth):
+        kind = rnd.randrange(8 if depth < 4 else 5)
+        if kind >= 6:
+            return [value(depth + 1) for _ in range(rnd.randrange(4))]
+        if kind == 5:
+            return {rnd.choice(["a", "b\n", "ü\\", '"q', "d", "é"]): value(depth + 1) for _ in range(rnd.randrange(4))}
+        return rnd.choice([None, True, False, 0, -3, 2.5, "", "x", 'a "b" \\ c', "\u20ac\n", "{[", "]}"])
+
+    for i in range(40):
+        yield json.dumps([value(0)], ensure_ascii=bool(i % 2), indent=rnd.choice([None, 2]))
+
+
 def paths(body):
-    return {(g, o) for g, o, _, _ in L.triples(L.outermost(body), L.DOCUMENT)}
+    return {(g, o) for _, g, o, _, _ in L.triples(body, L.DOCUMENT)}
+
+
+def values(body):
+    return [x for x in L.records(body, {"a"})]
 
 
 def test_outermost_value():
-    assert L.outermost('Sure. {"a": 1}\n\nbye') == {"a": 1}
-    assert L.outermost('```json\n{"a": "}"}\n```') == {"a": "}"}
-    assert L.outermost(json.dumps(json.dumps({"a": [1]}))) == {"a": [1]}
-    assert L.outermost("text\n" + json.dumps(json.dumps({"a": [1]}))) == {"a": [1]}
-    assert L.outermost('[{"a": 1}]') == [{"a": 1}]
-    for none in (None, "", "null", "no json here", '{"a": 1', '{"a": "', json.dumps(json.dumps({"a": [1]}))[:-4], '[{"a": 1}, '):
-        assert L.outermost(none) is None
+    assert values('Sure. {"a": 1}\n\nbye') == [[(("a",), "1")]]
+    assert values('```json\n{"a": "}"}\n```') == [[(("a",), "}")]]
+    nested = [[(("a", 0), "1")]]
+    assert values(json.dumps(json.dumps({"a": [1]}))) == nested
+    assert values("text\n" + json.dumps(json.dumps({"a": [1]}))) == nested
+    assert values(json.dumps({"out": json.dumps({"a": [1]})})) == nested
+    assert values('[{"a": 1}, {"b": {"a": null}}]') == [[(("a",), "1")], [(("a",), None)]]
+    for none in (None, "", "null", "no json here", '{"a": 1', '{"a": "', json.dumps(json.dumps({"a": [1]}))[:-4], '[{"a": 1}, ', '{"a": 1,}', '{"a" 1}', '{"a": [1}]', '{"a": "\\x"}', "[1 2]", "{}", "[]"):
+        assert values(none) == []
+
+
+@pytest.mark.parametrize("body", [*json_bodies()])
+def test_events_are_those_of_the_public_parser(body):
+    def walk(x, path=()):
+        todo = [(x, path)]
+        while todo:
+            v, at = todo.pop()
+            if isinstance(v, (dict, list)):
+                todo += [(w, (*at, k)) for k, w in (v.items() if isinstance(v, dict) else enumerate(v))]
+            else:
+                yield at, v if isinstance(v, str) else None if v is None else json.dumps(v), isinstance(v, str)
+
+    assert sorted(L.events(body) or [], key=str) == sorted(walk(json.loads(body)), key=str)
+
+
+@pytest.mark.parametrize("depth", [1_000, 20_000])
+def test_depth_never_ends_the_job(depth):
+    """Up to 4 000 levels are read; a deeper record gives nothing."""
+    steps = '{"description": "x", "substeps": [' * depth + "]}" * depth
+    got = paths('{"solution": {"troubleshooting_steps": [' + steps + "]}}")
+    assert len(got) == (0 if 2 * depth > L.LEVELS else depth)
+    for body in ("[" * depth, '{"a":' * depth, "[" * depth + "]" * depth, '{"problem": {"symptoms": ' + "[" * depth + "1" + "]" * depth + "}}"):
+        assert len(paths(body)) <= 1
+
+
+def test_records_of_one_text_keep_apart(spark):
+    body = json.dumps([{"problem": {"symptoms": ["a", "b"]}}, {"problem": {"symptoms": ["c"]}}])
+    found = L.parse_triples(spark.createDataFrame([(1, body)], "rec_id long, body string"), L.DOCUMENT)
+    assert {(r.doc, r.ordinal, r.value) for r in L.pivot_group(found, "symptom", ["value"]).collect()} == {(0, "0", "a"), (0, "1", "b"), (1, "0", "c")}
+
+
+def test_typed_documents_as_their_json(spark):
+    """Exploded columns and the parsed JSON of the same documents give the same rows."""
+    rows = [(1, {"symptoms": ["a", None, " ", "b"]}, {"troubleshooting_steps": [{"description": " ", "command": None, "result": "r"}, None, {"description": "d", "command": "c", "result": None}]}, {"environment": {"os.x": "1", "k": " "}}, "clash")]
+    rows += [rows[0], (2, None, None, None, None), (3, {"symptoms": None}, {"troubleshooting_steps": []}, {"environment": {}}, None)]
+    schema = "record_id long, problem struct<symptoms array<string>>, solution struct<troubleshooting_steps array<struct<description string, command string, result string>>>, metadata struct<environment map<string,string>>, ordinal string"
+    docs = spark.createDataFrame([(a, b and (b["symptoms"],), c and ([x and (x["description"], x["command"], x["result"]) for x in c["troubleshooting_steps"]],), e and (e["environment"],), f) for a, b, c, e, f in rows], schema)
+    bodies = spark.createDataFrame([(a, json.dumps({"problem": b, "solution": c, "metadata": e})) for a, b, c, e, _ in rows], "rec_id long, body string")
+    for group, columns in (("step", ["description", "command", "result"]), ("symptom", ["value"]), ("env", ["value"])):
+        one, two = (sorted(map(str, L.pivot_group(t, group, columns).collect())) for t in (L.document_triples(docs), L.parse_triples(bodies, L.DOCUMENT)))
+        assert one == two and one
 
 
 def test_steps_symptoms_environment():

@@ -31,16 +31,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.child_paths(flatten.document_triples(read(spark, d, "cleaned_docs"), read(spark, d, "llm_replies")))
+    return flatten.child_paths(flatten.all_triples(read(spark, d, "cleaned_docs"), read(spark, d, "llm_replies")))
 
 
 def _table(spark: SparkSession, d: str, group: str, columns: list[str]) -> DataFrame:
-    layout = flatten.Layout(
-        {k: v for k, v in flatten.DOCUMENT.arrays.items() if v == group},
-        {k: v for k, v in flatten.DOCUMENT.nested.items() if v == group},
-        {k: v for k, v in flatten.DOCUMENT.maps.items() if v == group},
-    )
-    found = flatten.document_triples(read(spark, d, "cleaned_docs"), read(spark, d, "llm_replies"), layout)
+    found = flatten.all_triples(read(spark, d, "cleaned_docs"), read(spark, d, "llm_replies"), (group,))
     return flatten.pivot_group(found, group, columns, ("src", "rec_id"))
 
 
@@ -59,6 +54,44 @@ def p2_environment(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "env", ["value"])
 
 
+def _typed(spark: SparkSession, d: str, group: str, columns: list[str]) -> DataFrame:
+    """The same of typed documents alone, which SQL can follow."""
+    return flatten.pivot_group(flatten.document_triples(read(spark, d, "cleaned_docs"), (group,)), group, columns)
+
+
+@query
+def p2_doc_steps(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d, "step", ["description", "command", "result"])
+
+
+@query
+def p2_doc_symptoms(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d, "symptom", ["value"])
+
+
+@query
+def p2_doc_environment(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d, "env", ["value"])
+
+
+_SOLID = r"regexp_matches({0}, '[^\s\x1c-\x1f\x{{85}}\p{{Z}}]')"
+
+
+def _unrolled(path: str, shown: str, kept: str) -> str:
+    rows = f"select record_id, {path}[i] x, i from (select *, unnest(range(1, len({path}) + 1)) i from cleaned_docs)"
+    return f"select distinct record_id rec_id, 0::int doc, (i - 1)::varchar ordinal, null::varchar parent, (i - 1)::int as position, {shown} from ({rows}) where {kept}"
+
+
+_FIELDS = ("description", "command", "result")
+SQL["p2_doc_steps"] = _unrolled(
+    "solution.troubleshooting_steps",
+    ", ".join(f"case when {_SOLID.format(f'x.{c}')} then x.{c} end {c}" for c in _FIELDS),
+    " or ".join(_SOLID.format(f"x.{c}") for c in _FIELDS),
+)
+SQL["p2_doc_symptoms"] = _unrolled("problem.symptoms", 'x as "value"', _SOLID.format("x"))
+_NAMES = "select record_id, unnest(map_keys(metadata.environment)) k, unnest(map_values(metadata.environment)) v from cleaned_docs"
+SQL["p2_doc_environment"] = rf"""select distinct record_id rec_id, 0::int doc, k ordinal, case when contains(k, '.') then regexp_replace(k, '\.[^.]*$', '') end parent,
+case when regexp_matches(regexp_extract(k, '[^.]*$'), '^\d+$') then try_cast(regexp_extract(k, '[^.]*$') as int) end as position, v as "value" from ({_NAMES}) where {_SOLID.format('v')}"""
 _KEY = r"nullif(regexp_replace(lower({0}), '^[\s\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g'), '')"
 SQL["p4_found"] = f"""
 with n as (select {_KEY.format('node_id')} k, {_KEY.format('ref_doc_id')} r, loaded_at t, deleted_at is not null del from kb_nodes),
