@@ -2,12 +2,12 @@
 
 Texts are normalised and equal ones become one representative. Candidates come from adaptive multi-match prefixes:
 
-- A text's tokens are 40 bands of 4 values each, where a value is the least hash of one bin of its set of substrings of 4
+- A text's tokens are 44 bands of 4 values each, where a value is the least hash of one bin of its set of substrings of 4
   characters. A value is the same in two texts with their sets' similarity as probability, wherever the edits lie.
 - Tokens are ordered by how many texts have them, counted in a table of fixed size. Two texts of similarity 0.7 or more have
-  at least SHARED tokens in common (all but 0.0002 of those at 0.70, all but 0.00006 at 0.72), so in the rarest
-  40 - SHARED + l of each they share at least l: that is a text's prefix, and l the number that a partner must share. A text
-  whose prefix is estimated to bring many candidates has the longer prefix and the larger l.
+  at least SHARED = 3 tokens in common (all but 0.0006 of those at 0.70, all but 0.0002 at 0.72), so in the rarest
+  44 - SHARED + l of each they share at least l: that is a text's prefix, and l the number that a partner must share. The more
+  candidates a text's prefix is estimated to bring, the longer the prefix and the larger l.
 - Tokens meet by hash ranges, with a sketch of one bit a value that drops most chance meetings at once; a token with more
   texts than fit is split into blocks that meet pairwise.
 - Pairs with enough shared tokens are verified exactly on their sets of substrings of 4 characters.
@@ -32,14 +32,15 @@ from ..session import staged
 TABLE_BITS, BLOCK = 20, 4_000
 SLICES = 16
 #: By number of substrings (any two similar texts lie in one of these): least, largest, bins of one round of hashing.
-CLASSES = ((0, 130, 1), (90, 200, 20), (140, 400, 40), (280, 1 << 40, 80))
+CLASSES = ((0, 130, 1), (90, 200, 22), (140, 400, 44), (280, 1 << 40, 88))
 #: Bands of a text, values of each, and bands that two similar texts have in common at least.
-BANDS, BAND, SHARED = 40, 4, 2
+BANDS, BAND, SHARED = 44, 4, 3
 VALUES = BANDS * BAND
 #: Bits of the sketch and how many may differ: in texts of similarity 0.7 it is 19.2, with a deviation of 4.
-SKETCH, DIFFER = 128, 36
-#: A text has the longer prefix if its tokens are held by so many texts on average, beyond the table's noise.
-DEAR = 8
+SKETCH, DIFFER = 128, 34
+#: A text's prefix grows by one token, and what a partner must share with it, at each of these numbers of texts that hold one of its
+#: tokens on average, beyond the table's noise.
+DEAR = (2, 16)
 #: Characters that a task handles at once.
 CHUNK = 1_500_000
 _BASE = 0x9E3779B97F4A7C15
@@ -185,7 +186,7 @@ def prefixes(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     np.put_along_axis(rank, order, np.broadcast_to(np.arange(keys.shape[1]), order.shape), axis=1)
     least = keys.shape[1] - SHARED
     cost = np.where(rank <= least, count, 0).sum(1) / (least + 1) - noise
-    need = np.where(cost > DEAR, SHARED, 1)
+    need = 1 + sum((cost > dear).astype(np.int64) for dear in DEAR)
     return rank < (least + need)[:, None], need, count
 
 
