@@ -41,10 +41,34 @@ def test_lexicon_is_exact_and_shares_suffixes():
     words = {w.encode(): [i, i + 1] for i, w in enumerate(["tap", "taps", "top", "tops", "b", "bé"])}
     lex = E.Lexicon.build(words)
     assert lex.look_up([*words, b"", b"t", b"tapsx", b"zz"]) == [*words.values(), None, None, None, None]
-    assert len(lex.first) - 1 < 8
+    assert len(lex.final) < 8
     assert E.Lexicon.build({}).look_up([b"a"]) == [None]
 
 
+def test_lexicon_is_read_from_the_map(tmp_path):
+    words = {str(i).encode(): [i] for i in range(3000)}
+    E.Lexicon.build(words).save(str(tmp_path / "lex"))
+    lex = E.Lexicon.load(str(tmp_path / "lex"))
+    assert all(isinstance(getattr(lex, name), np.memmap) for name in E.Lexicon.FILES)
+    assert lex.look_up([*words, b"x"]) == [*words.values(), None]
+
+
+def test_most_frequent_words_without_a_sort(spark):
+    """What goes to the driver is what is kept, however many partitions there are; a class of counts is kept as a whole."""
+    rows = spark.createDataFrame([(f"w{i}", 1 + i % 100) for i in range(10_000)], "word string, n long").repartition(200)
+    got = E.most_frequent(rows, 2_550)
+    assert got.count() == 2_500 and got.agg({"n": "min"}).first()[0] == 76
+    assert E.most_frequent(rows, 50).count() == 0 and E.most_frequent(rows, 20_000).count() == 10_000 and E.most_frequent(rows.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [512, 1024, 2048, 8192])
+def test_patterns_never_need_more_containers(capacity):
+    rng = np.random.default_rng(capacity)
+    for sizes in (rng.integers(1, capacity + 1, 4000), np.minimum(capacity, rng.lognormal(5.5, 1, 4000).astype(int) + 1), rng.choice([capacity // 3, capacity // 2 + 1, capacity // 6], 1000)):
+        plain = np.zeros(len(sizes), np.int64)
+        assert len(set(P.pack(sizes, capacity).tolist())) <= P.largest_first(P.Pool(sizes), plain, capacity, 0, [])
+
+
 def test_long_words_merge_like_short_ones():
     rank = E.ranks(E.ranks_path())
     for w in (b"abcabcabc" * 30, b"=" * 100):

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, staged
 
 TOKENIZERS = "/opt/tokenizers"
 #: Words in the lexicon at most.
@@ -196,10 +196,11 @@ def _merge_long(parts: list[bytes | None], rank: dict[bytes, int]) -> list[int]:
 class Lexicon:
     """A minimal acyclic automaton over bytes; a word's number is the sum of the steps on its path."""
 
-    FILES = ("first", "label", "target", "step", "start", "ids")
+    FILES = ("edges", "target", "step", "final", "start", "ids")
 
-    def __init__(self, first, label, target, step, start, ids):
-        self.first, self.label, self.target, self.step, self.start, self.ids = first, label, target, step, start, ids
+    def __init__(self, edges, target, step, final, start, ids):
+        """edges: state and label of every edge as one sorted number; the last state is the first one of every word."""
+        self.edges, self.target, self.step, self.final, self.start, self.ids = edges, target, step, final, start, ids
 
     @staticmethod
     def build(words: dict[bytes, list[int]]) -> "Lexicon":
@@ -234,18 +235,17 @@ class Lexicon:
         close(0)
         root = (path[0][0], tuple(path[0][1]))
         made.append(root)
-        first, label, target, step = array("I", [0]), array("B"), array("I"), array("I")
-        for end, edges in made:
+        edge, target, step = array("q"), array("q"), array("q")
+        for state, (end, edges) in enumerate(made):
             ahead = int(end)
             for c, t in edges:
-                label.append(c)
+                edge.append(state << 8 | c)
                 target.append(t)
                 step.append(ahead)
                 ahead += ways[t]
-            first.append(len(label) | (int(end) << 31))
-        start = np.cumsum([0, *(len(words[w]) for w in ordered)]).astype(np.uint32)
+        start = np.cumsum([0, *(len(words[w]) for w in ordered)]).astype(np.int64)
         ids = np.fromiter(chain.from_iterable(words[w] for w in ordered), np.int32)
-        return Lexicon(np.array(first, np.uint32), np.array(label, np.uint8), np.array(target, np.uint32), np.array(step, np.uint32), start, ids)
+        return Lexicon(np.array(edge, np.int64), np.array(target, np.int64), np.array(step, np.int64), np.array([end for end, _ in made]), start, ids)
 
     def save(self, path: str) -> None:
         os.makedirs(path)
@@ -257,20 +257,17 @@ class Lexicon:
         return Lexicon(*(np.load(os.path.join(path, f"{name}.npy"), mmap_mode="r") for name in Lexicon.FILES))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word, -1 where the lexicon does not hold it; all words take their steps together."""
-        mask = np.uint32(0x7FFFFFFF)
-        heads = np.asarray(self.first) & mask
-        owner = np.repeat(np.arange(len(heads) - 1, dtype=np.int64), np.diff(heads.astype(np.int64)))
-        edges = (owner << 8) | np.asarray(self.label)
+        """The number of each word, -1 where the lexicon does not hold it; all words take their steps together, in the map itself."""
+        edges, last = self.edges, len(self.edges) - 1
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
-        state, number = np.full(len(words), len(heads) - 2, np.int64), np.zeros(len(words), np.int64)
-        alive = np.flatnonzero((sizes > 0) & (len(edges) > 0))
-        number[sizes == 0] = -1
+        state, number = np.full(len(words), len(self.final) - 1, np.int64), np.zeros(len(words), np.int64)
+        alive = np.flatnonzero((sizes > 0) & (last >= 0))
+        number[(sizes == 0) | (last < 0)] = -1
         depth = 0
         while len(alive):
-            key = (state[alive] << 8) | flat[begin[alive] + depth]
-            at = np.minimum(np.searchsorted(edges, key), len(edges) - 1)
+            key = state[alive] << 8 | flat[begin[alive] + depth]
+            at = np.minimum(edges.searchsorted(key), last)
             hit = edges[at] == key
             number[alive[~hit]] = -1
             alive, at = alive[hit], at[hit]
@@ -279,13 +276,30 @@ class Lexicon:
             depth += 1
             done = sizes[alive] == depth
             over = alive[done]
-            number[over[(self.first[state[over] + 1] >> 31) == 0]] = -1
+            number[over[~self.final[state[over]]]] = -1
             alive = alive[~done]
-        return number if len(edges) else np.full(len(words), -1, np.int64)
+        return number
 
     def look_up(self, words: list[bytes]) -> list[list[int] | None]:
-        ids, start = np.asarray(self.ids), np.asarray(self.start).tolist()
-        return [None if n < 0 else ids[start[n] : start[n + 1]].tolist() for n in self.numbers(words).tolist()]
+        n = self.numbers(words)
+        begin, end = self.start[np.maximum(n, 0)].tolist(), self.start[np.maximum(n, 0) + (n >= 0)].tolist()
+        return [None if k < 0 else self.ids[a:b].tolist() for k, a, b in zip(n.tolist(), begin, end)]
+
+
+def most_frequent(counted: DataFrame, limit: int) -> DataFrame:
+    """The rows (word, n) with the greatest n, `limit` at most: those above a count that a histogram of counts gives.
+
+    The histogram's classes are 1/64 of an octave wide, so it has some 2 000 rows whatever the number of words, and no
+    partition gives more rows than are kept in all. Words of one class are kept or left out together.
+    """
+    octave = F.floor(F.log2("n") * 64).cast("int")
+    sizes = sorted(((r["k"], r["count"]) for r in counted.groupBy(octave.alias("k")).count().collect()), reverse=True)
+    least, left = None, limit
+    for k, size in sizes:
+        if size > left:
+            break
+        least, left = k, left - size
+    return counted.where(octave >= least) if least is not None else counted.limit(0)
 
 
 def frequent_words(texts: DataFrame, column: str, limit: int) -> list[str]:
@@ -298,9 +312,8 @@ def frequent_words(texts: DataFrame, column: str, limit: int) -> list[str]:
                 n = np.bincount(which, minlength=len(words))
                 yield pd.DataFrame({"word": words, "n": n}, columns=["word", "n"])
 
-    counted = texts.select(column).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(limit)
-    return [r["word"] for r in top.select("word").collect()]
+    counted = staged(texts.select(column).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return [r["word"] for r in most_frequent(counted, limit).select("word").collect()]
 
 
 def publish_lexicon(spark: SparkSession, words: list[str], rank: dict[bytes, int]):

@@ -2,9 +2,10 @@
 
 Sizes are put on a grid. Patterns of few grid sizes that fill a container are enumerated, and non-negative least
 squares finds how often each should be used so that together they use up the histogram of sizes. The counts are
-rounded down; each use of a pattern takes its items, the last one as the largest that still fits. What is left is
-packed largest first. Items are spread over shards of bounded size which are packed independently, so the space lost is
-at most about one container a shard.
+rounded; each use of a pattern takes its items, of a neighbouring grid size where one has run out, and the last one as the
+largest that still fits. A container that would stay emptier than largest-first packing leaves them is given up, and what is
+left is packed largest first. Of that and largest-first packing of all items the better one is kept. Items are spread over
+shards of bounded size which are packed independently, so the space lost is at most about one container a shard.
 """
 
 from __future__ import annotations
@@ -99,49 +100,65 @@ class Pool:
         self.mask |= 1 << size
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The container of each item; sizes lie between 0 and capacity. Items of size 0 go into container 0."""
-    out = np.zeros(len(sizes), np.int64)
-    some = np.flatnonzero(sizes > 0)
-    pool, used = Pool(sizes[some]), 0
-    grid = np.clip(np.rint(sizes[some] * GRID / capacity).astype(int), 1, GRID)
+def largest_first(pool: Pool, out: np.ndarray, capacity: int, used: int, gaps: list[tuple[int, int]]) -> int:
+    """All items of the pool into the gaps of containers, then into new ones; the number of containers then."""
+    for space, at in gaps:
+        while space and (got := pool.take(space, 1)):
+            out[got[1]] = at
+            space -= got[0]
+    while pool.mask:
+        space = capacity
+        while space and (got := pool.take(space, 1)):
+            out[got[1]] = used
+            space -= got[0]
+        used += 1
+    return used
+
+
+def by_patterns(sizes: np.ndarray, capacity: int, waste: float) -> tuple[np.ndarray, int]:
+    """The container of each item and their number; a pattern's container may leave `waste` of its space unused."""
+    out, pool, used = np.zeros(len(sizes), np.int64), Pool(sizes), 0
+    grid = np.clip(np.rint(sizes * GRID / capacity).astype(int), 1, GRID)
     count = np.bincount(grid, minlength=GRID + 1).astype(float)
     table = patterns(np.flatnonzero(count).tolist())
     gaps: list[tuple[int, int]] = []
     if table.shape[1]:
-        repeat = np.floor(nnls(table, count) + 1e-9).astype(int)
-        low = [int(np.ceil((g - 0.5) * capacity / GRID)) for g in range(GRID + 1)]
+        repeat = np.rint(nnls(table, count)).astype(int)
+        edge = [int(np.ceil((g - 0.5) * capacity / GRID)) for g in range(GRID + 3)]
         for j in np.argsort(-repeat, kind="stable"):
             shape = np.repeat(np.arange(GRID + 1), table[:, j].astype(int))[::-1].tolist()
             for _ in range(repeat[j]):
                 space, taken = capacity, []
                 for k, g in enumerate(shape):
-                    last = k == len(shape) - 1
-                    top = min(space, capacity if last else int((g + 0.5) * capacity / GRID))
-                    got = pool.take(top, max(1, low[g] - (capacity // GRID if last else 0)))
+                    if k == len(shape) - 1:
+                        got = pool.take(space, 1)
+                    else:
+                        got = pool.take(min(space, edge[g + 1] - 1), max(1, edge[g])) or pool.take(min(space, edge[g + 2] - 1), max(1, edge[max(0, g - 1)]))
                     if got is None:
                         break
                     taken.append(got)
                     space -= got[0]
-                if len(taken) < len(shape):
+                if len(taken) < len(shape) or space > waste * capacity:
                     for size, item in taken:
                         pool.put(size, item)
                     break
                 for _size, item in taken:
-                    out[some[item]] = used
+                    out[item] = used
                 if space:
                     gaps.append((space, used))
                 used += 1
-    for space, at in gaps:
-        while space and (got := pool.take(space, 1)):
-            out[some[got[1]]] = at
-            space -= got[0]
-    while pool.mask:
-        space = capacity
-        while space and (got := pool.take(space, 1)):
-            out[some[got[1]]] = used
-            space -= got[0]
-        used += 1
+    return out, largest_first(pool, out, capacity, used, gaps)
+
+
+def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each item; sizes lie between 0 and capacity. Items of size 0 go into container 0."""
+    out, some = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes > 0)
+    own = sizes[some]
+    plain = np.zeros(len(own), np.int64)
+    used = largest_first(Pool(own), plain, capacity, 0, [])
+    waste = 1 - own.sum() / (used * capacity) if used else 0.0
+    found, n = by_patterns(own, capacity, waste) if used else (plain, used)
+    out[some] = found if n <= used else plain
     return out
 
 
