@@ -74,6 +74,17 @@ def test_scattered_edits_against_brute_force(spark, size):
     assert len(want) >= 20 and {(r.src, r.key_a, r.key_b) for r in N.key_pairs(members, pairs).collect()} == want
 
 
+def test_similarities_are_exact():
+    rnd = random.Random(4)
+    for chars in ("ab", "abcdefgh 0123", "".join(map(chr, range(0x4E00, 0x9F00))), "".join(map(chr, [*range(0x4E00, 0x9F00), *range(0x10000, 0x1F000), *range(0x20000, 0x2A000)]))):
+        a = ["".join(rnd.choice(chars) for _ in range(rnd.randrange(0, 60))) for _ in range(50)]
+        a += ["".join(chars)] * 2
+        b = [t[: len(t) // 2] + rnd.choice(chars) + t[len(t) // 2 :] for t in a]
+        want = [len(N.substrings(x) & N.substrings(y)) / max(1, len(N.substrings(x) | N.substrings(y))) for x, y in zip(a, b)]
+        assert N.similarities(a, b).tolist() == want
+    assert N.similarities([], []).tolist() == []
+
+
 def test_empty_table(spark):
     members, pairs = N.near_duplicates(spark.createDataFrame([], "src string, key string, text string"))
     assert N.key_pairs(members, pairs).count() == 0 and N.record_groups(members, pairs).count() == 0

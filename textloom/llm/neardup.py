@@ -268,26 +268,31 @@ def substrings(text: str) -> set[str]:
     return {text[i : i + 4] for i in range(len(text) - 3)}
 
 
-def gram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct substrings of 4 characters of all texts, text by text and sorted, as numbers; and where each text begins.
-
-    Numbers are comparable within one call: the characters that occur in it are numbered, in fewer bits than 16 each.
-    """
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    known = np.flatnonzero(np.bincount(codes, minlength=1)) if len(codes) else codes
-    place = np.zeros(int(known[-1]) + 1 if len(known) else 1, np.uint64)
+def similarities(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaccard similarity of the sets of substrings of 4 characters of each two texts; exact, by two sorts of all of them."""
+    texts = [t for pair in zip(a, b) for t in pair]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    if len(codes) < 4:
+        return np.zeros(len(a))
+    known = np.flatnonzero(np.bincount(codes))
+    place = np.zeros(int(known[-1]) + 1, np.uint64)
     place[known] = np.arange(len(known), dtype=np.uint64)
-    short, base = place[codes], np.uint64(max(2, len(known)))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    n = max(0, len(codes) - 3)
-    grams = ((short[:n] * base + short[1 : n + 1]) * base + short[2 : n + 2]) * base + short[3 : n + 3]
-    inside = owner[:n] == owner[3 : n + 3]
-    grams, owner = grams[inside], owner[:n][inside]
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    first = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))[: len(grams)]
-    return grams[first], np.searchsorted(owner[first], np.arange(len(texts) + 1))
+    short, base = place[codes], np.uint64(len(known))
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    inside = np.flatnonzero(owner[:-3] == owner[3:])
+    grams = ((short[inside] * base + short[inside + 1]) * base + short[inside + 2]) * base + short[inside + 3]
+    if len(known) ** 4 * len(texts) >= 1 << 63:  # numbers of whole substrings instead of their characters
+        grams = np.unique(grams if len(known) < 1 << 16 else np.stack([short[inside + k] for k in range(4)], 1), axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
+    size = grams.max() + np.uint64(1) if len(grams) else np.uint64(1)
+    keyed = owner[inside].astype(np.uint64) * size + grams
+    keyed.sort()
+    keyed = keyed[np.append(True, keyed[1:] != keyed[:-1])[: len(keyed)]]
+    of = keyed // size
+    each = np.bincount((of >> np.uint64(1)).astype(np.int64), minlength=len(a))
+    keyed -= (of - (of >> np.uint64(1))) * size
+    keyed.sort()
+    both = np.bincount((keyed[1:][keyed[1:] == keyed[:-1]] // size).astype(np.int64), minlength=len(a))
+    return both / np.maximum(1, each - both)
 
 
 def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
@@ -302,19 +307,10 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            every = pd.concat([pdf["text_a"], pdf["text_b"]], ignore_index=True)
-            which, texts = pd.factorize(every)
-            grams, begin = gram_sets(list(texts))
-            a, b = which[: len(pdf)], which[len(pdf) :]
-            size = np.diff(begin)
-            values = np.zeros(len(pdf))
-            for k in np.flatnonzero(np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])):
-                both = np.concatenate([grams[begin[a[k]] : begin[a[k] + 1]], grams[begin[b[k]] : begin[b[k] + 1]]])
-                both.sort(kind="stable")
-                common = np.count_nonzero(both[1:] == both[:-1])
-                values[k] = common / max(1, len(both) - common)
-            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": values}, columns=["a", "b", "similarity"])
-            yield out[out["similarity"] >= threshold]
+            chars = (pdf["text_a"].str.len() + pdf["text_b"].str.len()).cumsum()
+            for _, part in pdf.groupby(chars // CHUNK):
+                out = part[["a", "b"]].assign(similarity=similarities(part["text_a"].tolist(), part["text_b"].tolist()))
+                yield out[out["similarity"] >= threshold]
 
     sides = candidates.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     texts = reps.join(sides.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
