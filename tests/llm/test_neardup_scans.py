@@ -173,6 +173,32 @@ def test_scans(spark):
     assert text["bad"].startswith("The operator noticed that the table kept growing and that the value no longer matched. After the retention policy was")
     assert "128" in text["bad"] and set(text) == {"bad", "long", *(f"f{i}" for i in range(30))}
     assert S.scan_lines(df.limit(0)).count() == 0
+    few = S.scan_lines(df, {"w": 60, "b": 20, "z": 5, "c": 1, "h": 5_000}).where("file_id = 'bad'")
+    assert {(r.line_no, n) for r in few.collect() for n in r.noise} == rows
+
+
+def test_confusion_rates_are_estimated(spark):
+    """Words misread c for e at one place in 200 give that rate; pairs of words that are both printed give none."""
+    rnd = random.Random(2)
+    counts = {f"{w}{x}": 200 for w in WORDS for x in ("el", "om", "ude")} | {"form": 900, "torm": 800}
+    seen = {}
+    for w, n in counts.items():
+        for _ in range(n):
+            r = "".join("c" if c == "e" and rnd.random() < 0.005 else c for c in w)
+            seen[r] = seen.get(r, 0) + 1
+    rates = dict(zip(S.CONFUSIONS, S.confusion_rates(spark.createDataFrame(list(seen.items()), "term string, n long"))))
+    assert 0.003 < rates["c", "e"] < 0.007 and max(rates[k] for k in (("f", "t"), ("t", "f"), ("n", "u"), ("b", "h"))) < 0.0005
+
+
+def test_pairs_of_words_decide():
+    counts = {"w": {"the": 900, "main": 300, "mam": 1, "rnain": 2, "stem": 300, "stern": 300, "ship": 200, "cell": 200}, "b": {"stern ship": 190, "stem cell": 190, "the main": 290}}
+    rates = [0.01] * len(S.CONFUSIONS)
+    assert S.Channel(counts, None, rates).decode(["the", "rnain"]) == ["the", "main"]
+    read = {**counts, "w": {**counts["w"], "stcm": 1}}
+    assert S.Channel(read, None, rates).decode(["stcm", "cell"]) == ["stem", "cell"]
+    stern = {**counts, "w": {**counts["w"], "stem": 40, "stern": 40}}
+    with_pairs, without = S.Channel(stern, None, [0.3] * len(S.CONFUSIONS)), S.Channel({"w": stern["w"]}, None, [0.3] * len(S.CONFUSIONS))
+    assert with_pairs.decode(["stern", "cell"]) != without.decode(["stern", "cell"])
 
 
 def test_page_numbers():
