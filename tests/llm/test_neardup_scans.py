@@ -180,7 +180,7 @@ def test_scans(spark):
 def test_confusion_rates_are_estimated(spark):
     """Words misread c for e at one place in 200 give that rate; pairs of words that are both printed give none."""
     rnd = random.Random(2)
-    counts = {f"{w}{x}": 200 for w in WORDS for x in ("el", "om", "ude")} | {"form": 900, "torm": 800}
+    counts = {f"{w}{x}": 200 for w in WORDS for x in ("el", "om", "ude", "fun", "fihub")} | {"form": 900, "torm": 800}
     seen = {}
     for w, n in counts.items():
         for _ in range(n):
