@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A word or number of a script with cases, or one character of another script. The same in Spark's and in SQL's patterns.
+WORD = r"[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{M}\p{N}]+|\p{Lo}"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case ASCII words and numbers; null gives null, a text without any an empty array."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-case words and numbers; characters of scripts without cases one by one. Null gives null, a text without any an empty array."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
+from ..session import shuffle_width, spread, staged
 
 #: Rows of a block of queries and of a block of items in dense search; a task holds one of each.
 QUERY_BLOCK, ITEM_BLOCK = 2_000, 20_000
+#: Distinct terms of queries that are broadcast; more are joined.
+SENT_TERMS = 200_000
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -25,25 +28,62 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank. queries: query_id, query_text; docs: doc_id, text, ids unique.
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, ties by id; only those are sorted."""
+    at = np.arange(len(scores))
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return at[np.lexsort((ids[at], -scores[at]))][:k]
 
-    Terms of a query count once. Only postings of terms that some query uses are joined; the texts themselves never
-    move. Queries and texts without terms match nothing.
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank. queries: query_id, query_text; docs: doc_id, text, ids unique; both ids of simple types.
+
+    Terms of a query count once. Only postings of terms that some query uses are counted and staged; the texts themselves
+    never move. Queries and texts are then cut into blocks of bounded size as in dense search: each pair of blocks is one task
+    that adds up the weights of its postings and keeps its k best per query, so that a term that all texts hold brings no join
+    rows. With `only` (doc_id) just those texts are ranked, by the statistics of all. Queries and texts without terms match nothing.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct()
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.coalesce(F.size("t"), F.lit(0)).alias("dl"), "t")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    used = wanted.select("term").distinct()
-    tf = sized.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).join(used, "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = (
-        tf.join(df, "term")
-        .crossJoin(F.broadcast(stats))  # one row
-        .select("term", "doc_id", (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
-    )
-    scored = wanted.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k)
+    spark = docs.sparkSession
+    kind_q, kind_d = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+    wanted = staged(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct(), "wanted")
+    sized = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.coalesce(F.size("t"), F.lit(0)))
+    # A text without terms keeps one row with a null term, so that texts and lengths are counted from the same table.
+    used = wanted.select("term").distinct().withColumn("used", F.lit(True))
+    used = F.broadcast(used) if used.count() <= SENT_TERMS else used
+    every = sized.select("doc_id", "dl", F.explode_outer("t").alias("term")).join(used, "term", "left")
+    counted = staged(every.groupBy("doc_id", "dl", F.when(F.col("used"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")), "postings")
+    lengths = counted.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = lengths["n"] or 0, lengths["avgdl"] or 1.0
+    tf = counted.where("term is not null")
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    if only is not None:
+        tf = tf.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    weighted = tf.join(idf, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))).alias("w"))
+    nq, nd = blocks(wanted.select("query_id").distinct().count(), QUERY_BLOCK), max(blocks(n, ITEM_BLOCK), min(shuffle_width(spark), blocks(n, ITEM_BLOCK // 20)))
+    q = wanted.withColumn("i", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+    d = weighted.withColumn("j", F.pmod(F.xxhash64("doc_id"), F.lit(nd)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        term, names = pd.factorize(held["term"])
+        doc, ids = pd.factorize(held["doc_id"], sort=True)
+        order = np.argsort(term, kind="stable")
+        doc, w, begin = doc[order], held["w"].to_numpy()[order], np.searchsorted(term[order], np.arange(len(names) + 1))
+        place = pd.Index(names).get_indexer(asked["term"])
+        out = []
+        for name, at in asked.groupby("query_id", sort=False).indices.items():
+            parts = [slice(begin[t], begin[t + 1]) for t in place[at] if t >= 0]
+            if parts:
+                total = np.round(np.bincount(np.concatenate([doc[p] for p in parts]), np.concatenate([w[p] for p in parts]), len(ids)), 6)
+                top = best_of(total, np.arange(len(ids)), k)
+                top = top[total[top] > 0]
+                out.append(pd.DataFrame({"query_id": [name] * len(top), "doc_id": np.asarray(ids)[top], "score": total[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+
+    best = q.groupBy("i", "j").cogroup(d.groupBy("i", "j")).applyInPandas(score, f"query_id {kind_q}, doc_id {kind_d}, score double")
+    return top_k(best, k)
 
 
 def blocks(n: int, size: int) -> int:
@@ -78,7 +118,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosi
             s = x @ y.T
         s = np.round(s, 6) + 0.0
         ids = b["doc_id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        order = np.stack([best_of(row, ids, k) for row in s])
         return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), order.shape[1]), "doc_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
     best = q.groupBy("i", "j").cogroup(d.groupBy("i", "j")).applyInPandas(score, f"query_id {kind_q}, doc_id {kind_d}, score double")

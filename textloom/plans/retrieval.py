@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import WORD
 from ..operators import retrieval as R
 from ..session import read
 
@@ -57,9 +58,9 @@ def _top(scored: str, k: int = K) -> str:
 
 
 def _bm25(queries: str) -> str:
-    return f"""
-with wanted as (select distinct query_id, unnest(list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]+'))) term from {queries}),
-sized as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') t from documents),
+    return rf"""
+with wanted as (select distinct query_id, unnest(list_distinct(regexp_extract_all(lower(query_text), '{WORD}'))) term from {queries}),
+sized as (select doc_id, regexp_extract_all(lower(text), '{WORD}') t from documents),
 st as (select count(*) n, avg(coalesce(len(t), 0)) a from sized),
 tf as (select doc_id, coalesce(len(t), 0) dl, term, count(*) tf from (select doc_id, t, unnest(t) term from sized) group by all),
 df as (select term, count(*) df from tf group by term)
@@ -155,8 +156,8 @@ SQL["query_variants"] = f"select * from {_VARIANTS}"
 
 def fanned_out(spark: SparkSession, d: str, k: int = 2 * K) -> DataFrame:
     v = variants(asked(spark, d))
-    key = v.withColumn("query_id", F.struct("query_id", "variant_no"))
-    return R.bm25(key, documents(spark, d), k).select("query_id.query_id", "query_id.variant_no", "doc_id", "score", "rank")
+    key = v.withColumn("query_id", F.col("query_id") * 4 + F.col("variant_no"))
+    return R.bm25(key, documents(spark, d), k).select(F.floor(F.col("query_id") / 4).alias("query_id"), F.pmod("query_id", F.lit(4)).cast("int").alias("variant_no"), "doc_id", "score", "rank")
 
 
 @query
@@ -195,7 +196,7 @@ _JACCARD = """case when len(list_distinct(list_concat(a, b))) = 0 then 0.0 else
 _SEARCH = f"""select query_id, doc_id, score, rank::int rank, coalesce(source, 'unknown') source, substring(text, 1, 200) preview from (
 select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (
 select query_id, doc_id, source, text, {_JACCARD} score from (
-  select f.query_id, f.doc_id, source, text, list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]+')) a, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) b
+  select f.query_id, f.doc_id, source, text, list_distinct(regexp_extract_all(lower(query_text), '{WORD}')) a, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{WORD}')) b
   from ({SQL['dedup_first']}) f join documents using (doc_id) join {_ASKED} q on q.query_id = f.query_id))) where rank <= {K}"""
 SQL["search"] = _SEARCH
 
@@ -218,7 +219,7 @@ def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["rerank_overlap"] = f"""select query_id, doc_id, score, rank::int rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (
-select query_id, doc_id, {_JACCARD} score from (select f.query_id, f.doc_id, list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]+')) a, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) b
+select query_id, doc_id, {_JACCARD} score from (select f.query_id, f.doc_id, list_distinct(regexp_extract_all(lower(query_text), '{WORD}')) a, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{WORD}')) b
 from ({_bm25(_ASKED).replace(f'rank <= {K}', f'rank <= {2 * K}')}) f join documents using (doc_id) join {_ASKED} q on q.query_id = f.query_id))) where rank <= 5"""
 
 
@@ -233,12 +234,13 @@ SQL["rerank_disabled"] = f"select * from ({_bm25(_ASKED)}) where rank <= 5"
 
 @query
 def filter_results(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 results with a score of 5 at least from sources that hold 'runbooks', the best 10 of 50."""
-    found = R.bm25(asked(spark, d), documents(spark, d), 50).drop("rank").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    """The best 10 BM25 results with a score of 5 at least from sources that hold 'runbooks'."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "source")
+    found = R.bm25(asked(spark, d), docs, K, only=docs.where(F.contains(F.lower("source"), F.lit("runbooks")))).drop("rank").join(docs.select("doc_id", "source"), "doc_id")
     return R.filter_results(found, "RUNBOOKS", 5.0, None, K).select("query_id", "doc_id", "score", "rank", "source")
 
 
-SQL["filter_results"] = f"select query_id, doc_id, score, rank::int rank, source from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (select f.* exclude (rank), source from ({_bm25(_ASKED).replace(f'rank <= {K}', 'rank <= 50')}) f join documents using (doc_id) where score >= 5 and contains(lower(source), 'runbooks'))) where rank <= {K}"
+SQL["filter_results"] = f"select query_id, doc_id, score, rank::int rank, source from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (select f.* exclude (rank), source from ({_bm25(_ASKED).replace(f'where rank <= {K}', '')}) f join documents using (doc_id) where score >= 5 and contains(lower(source), 'runbooks'))) where rank <= {K}"
 
 
 @query
@@ -266,17 +268,25 @@ def format_nodes(spark: SparkSession, d: str) -> DataFrame:
 SQL["format_nodes"] = f"select query_id, rank, '[' || rank || '] (' || printf('%.3f', score) || ') ' || coalesce(regexp_extract(source, '[^/]*$'), 'unknown') || ': ' || substring(text, 1, 300) line from ({_bm25(_ASKED)}) join documents using (doc_id) where rank <= 5"
 
 
+_IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
+
+
+def image_results(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    """query_id, doc_id, score, position, path: images of the k best texts with images."""
+    shown = documents(spark, d).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_IMAGE), F.lit(1))).alias("position", "path"))
+    return R.bm25(asked(spark, d), documents(spark, d), k, only=shown).join(shown, "doc_id").select("query_id", "doc_id", "score", "position", "path")
+
+
 @query
 def dedup_images(spark: SparkSession, d: str) -> DataFrame:
     """Images of the texts a query found, each path once, with the best score of a text that shows it."""
-    found = R.bm25(asked(spark, d), documents(spark, d), 50).join(documents(spark, d), "doc_id")
-    rows = found.select("query_id", "doc_id", "score", F.explode(F.regexp_extract_all("text", F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1))).alias("path"))
-    best = rows.groupBy("query_id", "path").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("m"))
+    best = image_results(spark, d).groupBy("query_id", "path").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("m"))
     return best.select("query_id", "path", "m.score", (-F.col("m.d")).alias("doc_id"))
 
 
-SQL["dedup_images"] = rf"""select query_id, path, score, doc_id from (select *, row_number() over (partition by query_id, path order by score desc, doc_id) n from (
-select distinct query_id, doc_id, score, unnest(regexp_extract_all(text, '!\[[^\]]*\]\(([^)]+)\)', 1)) path from ({_bm25(_ASKED).replace(f'rank <= {K}', 'rank <= 50')}) join documents using (doc_id))) where n = 1"""
+_IMAGES = rf"""(select query_id, doc_id, score, unnest(paths) path, generate_subscripts(paths, 1) - 1 as position from (
+select *, row_number() over (partition by query_id order by score desc, doc_id) n from (select f.query_id, f.doc_id, f.score, regexp_extract_all(text, '{_IMAGE}', 1) paths from ({_bm25(_ASKED).replace(f'where rank <= {K}', '')}) f join documents using (doc_id)) where len(paths) > 0) where n <= 50)"""
+SQL["dedup_images"] = f"select query_id, path, score, doc_id from (select *, row_number() over (partition by query_id, path order by score desc, doc_id) n from (select distinct query_id, doc_id, score, path from {_IMAGES})) where n = 1"
 
 
 @query
@@ -311,7 +321,7 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return norm.select("doc_id", vec.alias("embedding"))
 
 
-SQL["hash_embed"] = """with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) t from documents),
+SQL["hash_embed"] = f"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) t from documents),
 c as (select doc_id, ('0x' || substring(md5(t), 1, 4))::int % 16 dim, count(*)::double v from w group by all),
 n as (select doc_id, sqrt(sum(v * v)) n from c group by doc_id)
 select doc_id, list(round(coalesce(v, 0) / n, 6) order by dim) embedding from (select doc_id, n, unnest(range(16)) dim from n) left join c using (doc_id, dim) group by doc_id"""
