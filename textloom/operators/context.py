@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.ranks import numbered_within
+from .extraction import asks_back
 
 
 def within_budget(results: DataFrame, budget: int, dressed: bool, keep_empty: bool = False) -> DataFrame:
@@ -56,6 +57,18 @@ def enriched(rows: DataFrame, conversation: str, recent: int = 2, cut: int = 200
     return out.select(conversation, "turn", F.when(F.col("_b1").isNotNull(), text).otherwise(F.col("query")).alias("enriched"))
 
 
+def passed_on(rows: DataFrame, conversation: str, recent: int = 2, cut: int = 200, limit: int = 6) -> DataFrame:
+    """conversation, turn, passed_on, context_source: a question that refers back gets the summary, once more than `limit` turns are
+    before it, and the last turns; any other stays as it is."""
+    before = enriched(rows, conversation, recent, cut).withColumnRenamed("enriched", "_e")
+    both = rows.select(conversation, "turn", "query").join(before, [conversation, "turn"]).join(summaries(rows, conversation), conversation, "left")
+    refers = (F.col("_e") != F.col("query")) & asks_back(F.col("query"))
+    told = F.when((F.col("turn") > limit + 1) & F.col("summary").isNotNull(), F.concat(F.lit("摘要: "), "summary", F.lit("\n"))).otherwise("")
+    head = F.lit("【上下文】\n")
+    full = F.concat(head, told, F.substring(F.col("_e"), F.length(head) + 1, F.length("_e")))
+    return both.select(conversation, "turn", F.when(refers, full).otherwise(F.col("query")).alias("passed_on"), F.when(refers, "recent_turns").otherwise("none").alias("context_source"))
+
+
 def windows(rows: DataFrame, conversation: str, limit: int = 6, keep: int = 2) -> DataFrame:
     """conversation, turn, summarised, kept after each turn: with more than `limit` turns in the window all but the last
     `keep` are summarised. In closed form, as the window refills by limit - keep + 1 turns between two summaries."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, matches
+from ..functions.text import matches
 
 # Error codes, matched in any case.
 ERROR_CODES = (
@@ -119,7 +119,3 @@ def parsed_variants(text: Column, n: int = 3) -> Column:
     """Query variants of a model's answer: lines without lead-ins and numbers, the first n."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^(Query|Alternative|Version|-)"))
     return F.slice(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^\d[.: ] ?", ""))), 1, n)
-
-
-def actionable(text: Column, words: list[str]) -> Column:
-    return any_of(F.lower(text), words)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, contexts, documents, hygiene, retrieval, rules, stores, streams
+from . import chunks, contexts, documents, gates, hygiene, retrieval, rules, stores, streams
 
-MODULES = (hygiene, retrieval, documents, chunks, rules, stores, contexts, streams)
+MODULES = (hygiene, retrieval, documents, chunks, rules, stores, contexts, gates, streams)
 
 
 def queries():
