@@ -137,13 +137,26 @@ def markdown_elements(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return merged.select(key, "pos", "kind", F.when(F.col("kind") == "title", F.length(F.regexp_extract(first, "^(#+)", 1))).alias("level"), F.when(F.col("kind") == "title", strip(F.regexp_replace(first, r"^#+\s+", ""))).otherwise(body).alias("element"))
 
 
+def with_paths(elements: DataFrame, key: str) -> DataFrame:
+    """elements with header_path, the live headings at each one, as /a/b/; above the first heading it is //.
+
+    A heading is live until one of its level or above comes, so one column per level holds the last heading of that level.
+    """
+    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    levels = range(1, 7)
+    last = elements.select("*", *[F.last(F.when(F.col("level") == j, F.struct("pos", "element")), ignorenulls=True).over(w).alias(f"_h{j}") for j in levels], F.last("level", ignorenulls=True).over(w).alias("_l"))
+    names = []
+    for j in levels:
+        above = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"_h{i}.pos"), F.lit(-1)) for i in levels if i < j])
+        names.append(F.when((F.col("_l") >= j) & (F.col(f"_h{j}.pos") > above), F.col(f"_h{j}.element")))
+    path = F.concat(F.lit("/"), F.concat_ws("/", *names), F.lit("/"))
+    return last.withColumn("header_path", path).drop("_l", *[f"_h{j}" for j in levels])
+
+
 def heading_paths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, level, heading, header_path: the live headings above and including each one, as /a/b/."""
     titles = markdown_elements(docs, key, text).where("kind = 'title'")
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    seen = titles.withColumn("seen", F.collect_list(F.struct("level", F.col("element").alias("heading"))).over(w))
-    stack = F.aggregate("seen", F.array().cast("array<struct<level:int,heading:string>>"), lambda s, x: F.concat(F.filter(s, lambda y: y["level"] < x["level"]), F.array(F.struct(x["level"].cast("int").alias("level"), x["heading"].alias("heading")))))
-    return seen.select(key, "pos", "level", F.col("element").alias("heading"), F.concat(F.lit("/"), F.array_join(F.transform(stack, lambda x: x["heading"]), "/"), F.lit("/")).alias("header_path"))
+    return with_paths(titles, key).select(key, "pos", "level", F.col("element").alias("heading"), "header_path")
 
 
 def heading_chains(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,10 +174,8 @@ def markdown_chunks(docs: DataFrame, limit_tokens: int = 512, max_chars: int = 3
     Every chunk begins with its section's headings. Code and tables are chunks of their own; chunks of more than
     max_chars characters are cut into windows. Text above the first heading has the path //.
     """
-    elements = markdown_elements(docs, key, text)
-    paths = heading_paths(docs, key, text).select(key, "pos", "header_path")
     w = W.partitionBy(key).orderBy("pos")
-    placed = elements.join(paths, [key, "pos"], "left").withColumn("section", F.sum((F.col("kind") == "title").cast("int")).over(w)).withColumn("path", F.coalesce(F.last("header_path", ignorenulls=True).over(w), F.lit("//")))
+    placed = with_paths(markdown_elements(docs, key, text), key).withColumn("section", F.sum((F.col("kind") == "title").cast("int")).over(w)).withColumnRenamed("header_path", "path")
     s = placed.where("kind <> 'title'").groupBy(key, "section", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "element"))).alias("e"), F.max((F.col("kind") == "code").cast("int")).alias("code"), F.max((F.col("kind") == "table").cast("int")).alias("tab"))
     alone = F.transform(F.filter("e", lambda x: x["kind"] != "text"), lambda x: F.struct(x["pos"].alias("pos"), x["element"].alias("t")))
     texts = pack(F.transform(F.filter("e", lambda x: x["kind"] == "text"), lambda x: x["element"]), limit_tokens, "\n", lambda x: F.floor(F.length(x) / 4), 1)

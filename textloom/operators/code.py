@@ -1,18 +1,12 @@
-"""Code in texts: fenced blocks, and the functions and classes of Python sources."""
+"""Code in texts: fenced blocks."""
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import markdown_elements
 
-ENTITIES = "kind string, name string, parent string, start_line int, end_line int, code string"
-
 
 def code_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, language (null if none is named), lines, code of every fenced block; a block that is never closed counts."""
@@ -20,34 +14,3 @@ def code_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     name = F.regexp_extract("element", r"\A\s*```(\w*)", 1)
     body = F.regexp_replace(F.regexp_replace("element", r"\A[^\n]*(\n|\z)", ""), r"\n?[ \t]*```[^\n]*\z", "")
     return blocks.select(key, "pos", F.when(name != "", F.lower(name)).alias("language"), F.when(body == "", 0).otherwise(F.size(F.split(body, "\n"))).alias("lines"), body.alias("code"))
-
-
-def entities(code: str | None) -> Iterator[tuple[str, str, str | None, int, int, str]]:
-    """Functions, classes and methods of a Python source; none if it cannot be parsed."""
-    try:
-        tree = ast.parse(code or "")
-    except (SyntaxError, ValueError, RecursionError):
-        return
-    lines = (code or "").splitlines()
-
-    def walk(node: ast.AST, parent: str | None) -> Iterator[tuple]:
-        for x in ast.iter_child_nodes(node):
-            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                kind = "class" if isinstance(x, ast.ClassDef) else "method" if parent else "function"
-                yield kind, x.name, parent, x.lineno, x.end_lineno, "\n".join(lines[x.lineno - 1 : x.end_lineno])
-                if kind == "class":
-                    yield from walk(x, x.name)
-
-    yield from walk(tree, None)
-
-
-def python_entities(sources: DataFrame, key: str, code: str) -> DataFrame:
-    """key and the entities of every Python source."""
-    kind = dict(sources.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, *e) for k, c in zip(b[key], b[code]) for e in entities(c)]
-            yield pd.DataFrame(rows, columns=[key, "kind", "name", "parent", "start_line", "end_line", "code"])
-
-    return sources.select(key, code).mapInPandas(run, f"{key} {kind}, {ENTITIES}")

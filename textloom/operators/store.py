@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, key: str = "node_id", order: str = "loaded_at") -> DataFrame:
-    """The last row of each key by delivery time, ties by the whole row; null keys are dropped.
+    """The last row of each key by delivery time, ties by a hash of the whole row and then the row; null keys are dropped.
 
-    An aggregate, so that repeated deliveries of a key are reduced before they are shuffled.
+    An aggregate, so that repeated deliveries of a key are reduced before they are shuffled. Maps cannot be compared and
+    are left out of the tie-break; rows that differ in nothing else may change places.
     """
-    last = F.max_by(F.struct("*"), F.struct(order, F.to_json(F.struct("*"))))
+    plain = [c for c, t in rows.dtypes if "map<" not in t]
+    last = F.max_by(F.struct("*"), F.struct(order, F.xxhash64(*plain).alias("_h"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(plain)]))
     return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(last.alias("_r")).select("_r.*")
 
 

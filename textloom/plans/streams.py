@@ -25,7 +25,7 @@ def stream(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 @query
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    done = S.run_to_end(S.hourly(stream(spark, d, "events")), "complete", "windows")
+    done = S.last_updates(S.run_to_end(S.hourly(stream(spark, d, "events")), "windows"), "hour", "event_type")
     return done.select(F.unix_seconds("hour").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -34,8 +34,7 @@ SQL["stream_windows"] = "select epoch(date_trunc('hour', ts))::bigint as hour, e
 
 @query
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    done = S.run_to_end(S.sessions(stream(spark, d, "events")), "update", "sessions")
-    return done.groupBy("user_id").agg(F.max_by("sessions", "events").alias("sessions"), F.max("events").alias("events"))
+    return S.last_updates(S.run_to_end(S.sessions(stream(spark, d, "events")), "sessions"), "user_id").select("user_id", "sessions", "events")
 
 
 SQL["stream_sessions"] = "select user_id, (sum((epoch_us(ts) - coalesce(p, -1e18) > 1800e6)::int))::int sessions, count(*)::int events from (select *, epoch_us(lag(ts) over (partition by user_id order by ts)) p from events) group by 1"
@@ -46,7 +45,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The node table put into a store by a stream: the last row of each node, with its document and length."""
     store = S.scratch(spark, "store")
     S.ingest(stream(spark, d, "kb_nodes"), store, S.scratch(spark, "marks")).awaitTermination()
-    return S.latest_version(spark, store).select("node_id", "ref_doc_id", F.length("text").alias("chars"), F.col("deleted_at").isNotNull().alias("deleted"))
+    return S.current(spark, store).select("node_id", "ref_doc_id", F.length("text").alias("chars"), F.col("deleted_at").isNotNull().alias("deleted"))
 
 
 SQL["stream_ingest"] = f"select {_SHOWN} from {_LATEST.format('true')}"

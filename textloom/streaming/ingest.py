@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.store import reingest
+from ..operators.store import latest
 from ..session import shared_dir
 
 
@@ -20,28 +20,38 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def ingest(arrivals: DataFrame, store: str, checkpoint: str):
-    """A query that puts arriving nodes into a versioned store: documents that arrive replace their former nodes.
+    """A query that puts arriving nodes into a store: documents that arrive replace their former nodes.
 
-    Every micro-batch writes version batch_id + 1 from version batch_id, so a batch that is run again gives the same
-    version. latest_version reads the store.
+    Every micro-batch is written as it is, as a part of its own that names its number: its cost does not depend on the
+    store, and a batch that is run again writes the same part. What a part replaces is found when the store is read.
     """
+    return arrivals.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{store}/part={i}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            new = reingest(batch.limit(0), batch)
-        else:
-            new = reingest(spark.read.parquet(f"{store}/version={batch_id}"), batch)
-        new.write.mode("overwrite").parquet(f"{store}/version={batch_id + 1}")
 
-    return arrivals.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def complete_parts(spark: SparkSession, store: str) -> list[str]:
+    """Folders of the store's parts that were written to their end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in (fs.listStatus(path) if fs.exists(path) else []) if f.getPath().getName().startswith("part=")]
+    return sorted(str(p) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def latest_version(spark: SparkSession, store: str) -> DataFrame:
-    """The store's last complete version."""
-    rows = spark.read.option("basePath", store).parquet(store)
-    last = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == last).drop("version")
+def current(spark: SparkSession, store: str, key: str = "node_id", document: str = "ref_doc_id") -> DataFrame:
+    """The store as of its last complete part: a row counts if no later part brings its document or its key; of one part the last row of a key."""
+    found = complete_parts(spark, store)
+    if not found:
+        raise ValueError(f"{store} holds no complete part")
+    rows = spark.read.option("basePath", store).parquet(*found).withColumn("part", F.col("part").cast("long"))
+    for name, last in ((document, "_d"), (key, "_k")):
+        newest = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(last)).agg(F.max("part").alias(f"{last}_part"))
+        rows = rows.join(newest, F.col(name) == F.col(last), "left").drop(last)
+    alive = rows.where("(_d_part is null or part = _d_part) and part = _k_part").drop("part", "_d_part", "_k_part")
+    return latest(alive, key)
+
+
+def compact(spark: SparkSession, store: str, into: str) -> None:
+    """The store as of now, written as the first part of a new one; streams that go on write their parts beside it with greater numbers."""
+    current(spark, store).write.mode("overwrite").parquet(f"{into}/part=-1")
 
 
 def hourly(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -50,13 +60,23 @@ def hourly(events: DataFrame, late: str = "1 day") -> DataFrame:
     return timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
-def run_to_end(result: DataFrame, mode: str, what: str) -> DataFrame:
-    """What a stream over the files that are there gives in the end, as a table in the shared folder."""
+def run_to_end(result: DataFrame, what: str) -> DataFrame:
+    """All updates that a stream over the files that are there gives, with the number of their micro-batch, as a table in the shared folder.
+
+    In update mode the watermark drops state that no event can change any more; the last update of a key is its result.
+    """
     spark = result.sparkSession
     out, marks = scratch(spark, what), scratch(spark, "marks")
-    query = result.writeStream.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("overwrite" if mode == "complete" else "append").parquet(out)).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query = result.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/part={i}")).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(out)
+    found = complete_parts(spark, out)
+    schema = result.schema.add("part", "long")
+    return spark.read.schema(schema).option("basePath", out).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def last_updates(updates: DataFrame, *keys: str) -> DataFrame:
+    values = [c for c in updates.columns if c not in (*keys, "part")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "part").alias("_v")).select(*keys, "_v.*")
 
 
 SESSION = "user_id long, sessions int, events int, last double"
@@ -74,20 +94,32 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def count_sessions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Numbers of sessions and events of a user so far; a gap of over 30 minutes begins a session.
 
-    The state holds the sessions' intervals, so events may come in any order, in any batches. Events without a time count
-    as events only.
+    The state holds the intervals of the sessions that may still grow, so events may come in any order, in any batches; one
+    that ended more than a gap before the watermark is only counted. Events without a time count as events only.
     """
-    events, starts, ends = state.get if state.exists else (0, [], [])
+    events, closed, last, starts, ends = state.get if state.exists else (0, 0, None, [], [])
     starts, ends = np.array(starts, float), np.array(ends, float)
     for pdf in batches:
         t = pdf["t"].dropna().to_numpy(float)
         events += len(pdf)
         starts, ends = merged(np.append(starts, t), np.append(ends, t))
-    state.update((int(events), starts.tolist(), ends.tolist()))
-    yield pd.DataFrame({"user_id": [key[0]], "sessions": [len(starts)], "events": [int(events)], "last": [float(ends[-1]) if len(ends) else None]})
-
-
-def sessions(events: DataFrame) -> DataFrame:
-    """user_id, sessions, events, last: state per user kept by the stream."""
-    timed = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t")).withColumn("t", F.col("t") / 1e6)
-    return timed.groupBy("user_id").applyInPandasWithState(count_sessions, SESSION, "events int, starts array<double>, ends array<double>", "update", GroupStateTimeout.NoTimeout)
+    if len(ends):
+        last = max(float(ends[-1]), last if last is not None else float(ends[-1]))
+    passed = state.getCurrentWatermarkMs() / 1000
+    over = ends + GAP < passed
+    closed, starts, ends = closed + int(over.sum()), starts[~over], ends[~over]
+    state.update((int(events), closed, last, starts.tolist(), ends.tolist()))
+    if len(ends):
+        state.setTimeoutTimestamp(int((max(ends[0] + GAP, passed) + 1) * 1000))
+    yield pd.DataFrame({"user_id": [key[0]], "sessions": [closed + len(starts)], "events": [int(events)], "last": [last]})
+
+
+def sessions(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """user_id, sessions, events, last: state per user kept by the stream.
+
+    Events later than `late` are left out of a running stream, and so are events of 1970 and before, where Spark's watermark
+    begins. Events without a time are counted, and belong to no session.
+    """
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    timed = timed.withColumn("t", F.unix_micros("at").cast("double") / 1e6).select("user_id", "at", "t")
+    return timed.groupBy("user_id").applyInPandasWithState(count_sessions, SESSION, "events int, closed int, last double, starts array<double>, ends array<double>", "update", GroupStateTimeout.EventTimeTimeout)
