@@ -67,6 +67,28 @@ def test_kinds_are_learned(spark):
     assert sum(r.contributions) == pytest.approx(r.distance**2, rel=1e-6) and r.top_stat in Q.STATS
 
 
+def test_bounded_samples(spark):
+    rows = spark.range(10_000).withColumnRenamed("id", "doc_id")
+    assert Q.bounded_sample(rows, "doc_id", 20_000).count() == 10_000
+    few = Q.bounded_sample(rows, "doc_id", 1_000)
+    assert 900 < few.count() <= 1_000 and Q.bounded_sample(rows.limit(0), "doc_id", 5).count() == 0
+
+
+def test_few_texts_of_a_language_draw_on_all(spark):
+    """A language's prose moves from that of all languages to its own as its texts grow in number, without a switch; far texts weigh little."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, (400, len(Q.STATS)))
+    gap = []
+    for n in (0, 5, 60, 400):
+        own = rng.normal(2, 1, (n, len(Q.STATS)))
+        rows = [(x.tolist(), "en") for x in base] + [(x.tolist(), "fr") for x in own] + [(np.full(len(Q.STATS), 500.0).tolist(), "en")] * 4
+        found = Q.prose_models(spark.createDataFrame(rows, "x array<double>, lang string"))
+        assert np.abs(found["en"].centre).max() < 0.6 and (found["en"].scale < 16).all()
+        gap.append(float(found["fr"].centre.mean()) if n else float(found[""].centre.mean()))
+    assert gap[0] < gap[1] < gap[2] < gap[3] and gap[3] > 1.6
+    assert Q.prose_models(spark.createDataFrame([], "x array<double>, lang string")) == {}
+
+
 def test_without_labels_all_is_prose(spark):
     d = sample(spark, 0, 4)
     words = spark.createDataFrame([("en", "the", 1)], "lang string, word string, word_rank int")

@@ -1,8 +1,9 @@
 """Text quality statistics per document, their distance from the prose of its language, and the kind of text.
 
-The statistics of labelled prose give a robust mean and covariance per language. A document's Mahalanobis distance from
-them, and the share each statistic has in it, tell how unlike prose it is; trees over statistics and distances, fitted
-on a bounded sample of labelled documents, name the kind.
+The statistics of all labelled prose give a robust mean and covariance per language, drawn towards those of all languages
+the more, the fewer texts a language has. A document's Mahalanobis distance from them, and what each statistic adds to it or
+takes from it, tell how unlike prose it is and in what; trees over the distance and these contributions alone, fitted on a
+bounded sample of labelled documents, name the kind.
 """
 
 from __future__ import annotations
@@ -20,8 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the models are fitted on, at most.
+from ..session import staged
+
+#: Labelled documents that the trees are fitted on, at most. Means and covariances are those of all labelled prose.
 LABELLED = 8_000
+#: So many texts of all languages a language's own prose is mixed with; so many of independent statistics those of all languages.
+DRAWN, INDEPENDENT = 60, 5
+#: Rounds of weighing; a text farther than REACH times the usual distance counts less.
+ROUNDS, REACH = 2, 1.3
 KINDS = ("prose", "list", "table", "junk")
 LANGS = ("en", "zh", "de", "fr", "es")
 
@@ -135,21 +142,6 @@ class Prose:
     scale: np.ndarray
     inverse: np.ndarray
 
-    @staticmethod
-    def fit(x: np.ndarray, shrink: float = 0.2, rounds: int = 5) -> "Prose":
-        centre = np.median(x, 0)
-        scale = 1.4826 * np.median(np.abs(x - centre), 0)
-        scale = np.maximum(scale, np.maximum(0.25 * x.std(0), 0.01))
-        z, keep = (x - centre) / scale, np.ones(len(x), bool)
-        for _ in range(rounds):
-            mean = z[keep].mean(0)
-            cov = np.cov(z[keep].T) if keep.sum() > 1 else np.eye(x.shape[1])
-            cov = (1 - shrink) * cov + shrink * np.diag(np.maximum(np.diag(cov), 0.05)) + 0.02 * np.eye(x.shape[1])
-            inverse = np.linalg.inv(cov)
-            d = np.einsum("ij,jk,ik->i", z - mean, inverse, z - mean)
-            keep = d <= np.quantile(d, 0.85)
-        return Prose(centre + mean * scale, scale, inverse)
-
     def shares(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances, and what each statistic adds to their squares."""
         z = (x - self.centre) / self.scale
@@ -157,6 +149,78 @@ class Prose:
         return np.sqrt(np.maximum(parts.sum(1), 0)), parts
 
 
+def inverted(cov: np.ndarray) -> np.ndarray:
+    return np.linalg.inv(0.8 * cov + 0.2 * np.diag(np.maximum(np.diag(cov), 0.05)) + 0.02 * np.eye(len(cov)))
+
+
+def prose_models(prose: DataFrame) -> dict[str, Prose]:
+    """prose (x, lang) -> the model of each language and, under an empty name, of all; none without rows.
+
+    Centres and scales are medians and quartiles, covariances are sums in which far texts weigh less; Spark adds up all rows,
+    and only sums per language come to the driver.
+    """
+    p = len(STATS)
+    each = prose.select("x", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("lang", F.lit(""))))).alias("lang"))
+    quartile = [F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(p)]
+    spread_ = [F.coalesce(F.stddev_pop(F.col("x")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(p)]
+    facts = {r["lang"]: r for r in each.groupBy("lang").agg(F.count("*").alias("n"), *quartile, *spread_).collect()}
+    if "" not in facts:
+        return {}
+    size, centre, scale = {}, {}, {}
+    for name in sorted(facts):
+        r = facts[name]
+        q = np.array([r[f"q{i}"] for i in range(p)], float)
+        wide = np.maximum((q[:, 2] - q[:, 0]) / 1.349, 0.25 * np.array([r[f"s{i}"] for i in range(p)]))
+        n = size[name] = r["n"]
+        if name:
+            centre[name], scale[name] = (n * q[:, 1] + DRAWN * centre[""]) / (n + DRAWN), (n * wide + DRAWN * scale[""]) / (n + DRAWN)
+        else:
+            centre[name], scale[name] = q[:, 1], np.maximum(wide, 0.01)
+    mean = {name: np.zeros(p) for name in facts}
+    inverse = {name: np.eye(p) for name in facts}
+    for _ in range(ROUNDS):
+        sums = weighed_sums(each, centre, scale, mean, inverse)
+        for name in sorted(facts):
+            n, (w, wz, v, vz, vzz) = size[name], sums[name]
+            mean[name] = wz / w * (n / (n + DRAWN) if name else 1)
+            m = mean[name]
+            cov = (vzz - np.outer(m, vz) - np.outer(vz, m)) / v + np.outer(m, m)
+            if name:
+                cov = (n * cov + DRAWN * every) / (n + DRAWN)  # noqa: F821
+            else:
+                every = cov = (n * cov + INDEPENDENT * np.eye(p)) / (n + INDEPENDENT)  # noqa: F841
+            inverse[name] = inverted(cov)
+    return {name: Prose(centre[name] + mean[name] * scale[name], scale[name], inverse[name]) for name in facts}
+
+
+def weighed_sums(each: DataFrame, centre: dict, scale: dict, mean: dict, inverse: dict) -> dict[str, tuple]:
+    """Per language: sum of weights, weighed scaled statistics, squared weights, those times statistics and their products."""
+    p = len(STATS)
+    cuts = np.cumsum([1, p, 1, p])
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for name, rows in b.groupby("lang"):
+                z = (np.stack(rows["x"].to_numpy()) - centre[name]) / scale[name]
+                y = z - mean[name]
+                d = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", y, inverse[name], y), 1e-18))
+                w = np.minimum(1, REACH * np.sqrt(p) / d)
+                v = w * w
+                total[name] = total.get(name, 0) + np.concatenate([[w.sum()], w @ z, [v.sum()], v @ z, ((v[:, None] * z).T @ z).ravel()])
+        yield pd.DataFrame({"lang": list(total), "sums": [t.tobytes() for t in total.values()]}, columns=["lang", "sums"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [group["lang"].iat[0]], "sums": [sum(np.frombuffer(t) for t in group["sums"]).tobytes()]})
+
+    found = each.mapInPandas(part, "lang string, sums binary").groupBy("lang").applyInPandas(add, "lang string, sums binary").collect()
+    out = {}
+    for r in found:
+        w, wz, v, vz, vzz = np.split(np.frombuffer(r["sums"]), cuts)
+        out[r["lang"]] = (w[0], wz, v[0], vz, vzz.reshape(p, p))
+    return out
+
+
 class Trees:
     """Randomised trees for classes."""
 
@@ -215,21 +279,12 @@ class Trees:
 class Model:
     """Prose of every language, and trees for the kinds; without labels every text is prose at distance 0."""
 
-    def __init__(self, x: np.ndarray, langs: list[str | None], kinds: list[str]):
+    def __init__(self, prose: dict[str, Prose], x: np.ndarray, langs: list[str | None], kinds: list[str]):
         y = np.array([KINDS.index(k) for k in kinds], int)
-        lang = np.array([v or "" for v in langs])
-        self.prose: dict[str, Prose] = {}
-        if (y == 0).sum() >= 5:
-            self.prose[""] = Prose.fit(x[y == 0])
-        for name in LANGS:
-            own = x[(y == 0) & (lang == name)]
-            if len(own) >= 2 * len(STATS):
-                self.prose[name] = Prose.fit(own)
-        self.trees = None
-        if len(set(y.tolist())) > 1:
-            d, parts = self.distance(x, langs)
+        self.prose, self.trees = prose, None
+        if len(set(y.tolist())) > 1 and prose:
             n = np.bincount(y, minlength=len(KINDS))
-            self.trees = Trees().fit(self.inputs(x, d, parts), y, len(KINDS), (len(y) / np.maximum(1, n) ** 0.7)[y])
+            self.trees = Trees().fit(self.inputs(*self.distance(x, langs)), y, len(KINDS), (len(y) / np.maximum(1, n) ** 0.7)[y])
 
     def distance(self, x: np.ndarray, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         d, parts = np.zeros(len(x)), np.zeros_like(x)
@@ -240,13 +295,13 @@ class Model:
         return d, parts
 
     @staticmethod
-    def inputs(x: np.ndarray, d: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        return np.hstack([x, np.log1p(d)[:, None], np.sign(parts) * np.log1p(np.abs(parts))])
+    def inputs(d: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        return np.hstack([np.log1p(d)[:, None], np.sign(parts) * np.log1p(np.abs(parts))])
 
-    def kinds(self, x: np.ndarray, d: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        if self.trees is None or not len(x):
-            return np.array(["prose"] * len(x))
-        return np.array(KINDS)[self.trees.predict(self.inputs(x, d, parts)).argmax(1)]
+    def kinds(self, d: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        if self.trees is None or not len(d):
+            return np.array(["prose"] * len(d))
+        return np.array(KINDS)[self.trees.predict(self.inputs(d, parts)).argmax(1)]
 
 
 def word_sets(common_words: DataFrame) -> dict[str, frozenset[str]]:
@@ -267,19 +322,31 @@ def _measured(texts: pd.Series, langs: pd.Series, common) -> tuple[np.ndarray, l
 NOT_BLANK = r"text rlike r'[^\s\p{Z}\x{feff}\x{200b}]'"
 
 
+def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most `limit` rows, chosen by the hash of their key in classes of 1/4096; all rows if they are no more."""
+    place = F.pmod(F.xxhash64(key), F.lit(4096))
+    last, left = -1, limit
+    for k, n in sorted((r["k"], r["count"]) for r in rows.groupBy(place.alias("k")).count().collect()):
+        if n > left:
+            break
+        last, left = k, left - n
+    return rows.where(place <= last)
+
+
 def fit_model(docs: DataFrame, labels: DataFrame, common: dict[str, frozenset[str]], limit: int = LABELLED) -> Model:
-    """The model of at most `limit` labelled documents, chosen by the hash of their id."""
+    """The model of all labelled documents, with trees of at most `limit` of them."""
     known = labels.where(F.col("kind").isin(*KINDS)).select("doc_id", "kind").distinct()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "kind").limit(limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x, langs = _measured(b["text"], b["lang"], common)
             yield pd.DataFrame({"doc_id": b["doc_id"], "x": list(x), "lang": langs, "kind": b["kind"]}, columns=["doc_id", "x", "lang", "kind"])
 
-    rows = docs.where(NOT_BLANK).select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, x array<double>, lang string, kind string").collect()
+    labelled = docs.where(NOT_BLANK).select("doc_id", "text", "lang").join(known, "doc_id")
+    measured = staged(labelled.mapInPandas(run, "doc_id long, x array<double>, lang string, kind string"), "measured")
+    rows = bounded_sample(measured, "doc_id", limit).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["kind"]))
-    return Model(np.array([r["x"] for r in rows]).reshape(len(rows), len(STATS)), [r["lang"] for r in rows], [r["kind"] for r in rows])
+    return Model(prose_models(measured.where("kind = 'prose'")), np.array([r["x"] for r in rows]).reshape(len(rows), len(STATS)), [r["lang"] for r in rows], [r["kind"] for r in rows])
 
 
 def text_quality(docs: DataFrame, labels: DataFrame, common_words: DataFrame, limit: int = LABELLED) -> DataFrame:
@@ -301,7 +368,7 @@ def text_quality(docs: DataFrame, labels: DataFrame, common_words: DataFrame, li
             out["distance"] = d
             out["contributions"] = list(parts)
             out["top_stat"] = np.array(STATS)[parts.argmax(1)] if len(parts) else []
-            out["kind"] = model.kinds(x, d, parts)
+            out["kind"] = model.kinds(d, parts)
             yield out
 
     schema = ", ".join(["doc_id long", "lang_used string", *(f"{s} double" for s in STATS), "distance double", "contributions array<double>", "top_stat string", "kind string"])
