@@ -27,6 +27,35 @@ def test_defects(query, response, defect):
     assert P.defect(query, response) == defect
 
 
+# Phrasings that were written without looking at the tables.
+PROMPTS = {"en": "How do I restart the token cache when node7 reports E1234?", "de": "Wie starte ich den Dienst neu, wenn der Knoten nicht mehr antwortet?", "fr": "Comment redémarrer le service quand le nœud ne répond plus ?", "es": "¿Cómo reinicio el servicio cuando el nodo ya no responde?", "zh": "节点没有响应时如何重启服务？"}
+HELD_OUT = (
+    ("en", 'refusal', ('I refuse.', 'Sorry, no.', 'This request falls outside my scope.', 'I would rather not go into this.', "I'm afraid I won't be able to help with that.", 'We are not permitted to share this.', 'As your assistant I am not allowed to discuss it.', 'That is beyond my capabilities.', 'I have no idea.', 'I prefer not to comment on this.', 'I am not in a position to answer that question.', 'Unfortunately I could not tell you.', "I'm declining to respond.", 'There is insufficient information to give an answer.', 'I never provide such details.', "Apologies, but I'm not willing to explain this.")),
+    ("de", 'refusal', ('Dazu möchte ich nichts sagen.', 'Ich verweigere die Antwort.', 'Das kann ich Ihnen leider nicht erklären.', 'Entschuldigung, nein.', 'Ich darf darauf nicht eingehen.', 'Das liegt außerhalb meiner Möglichkeiten.', 'Wir können dazu keine Auskunft geben.', 'Dabei kann ich nicht unterstützen.')),
+    ("fr", 'refusal', ('Je refuse.', 'Désolé, non.', 'Je préfère ne pas en parler.', 'Cela dépasse mes compétences.', 'Je ne suis pas autorisé à vous répondre.', 'Nous ne pouvons pas fournir ces détails.', 'Je ne souhaite pas commenter.')),
+    ("es", 'refusal', ('Me niego.', 'Lo siento, no.', 'Eso queda fuera de mi alcance.', 'No puedo decirle eso.', 'Prefiero no responder.', 'No podemos proporcionar esos datos.', 'No quiero comentar este asunto.')),
+    ("zh", 'refusal', ('我拒绝。', '抱歉，我不能透露。', '这不在我的服务范围内。', '恕不解答。', '我不清楚。', '不方便评论。')),
+    ("en", 'empty', ('[pending]', 'to be done', 'see above', '{{answer}}', '<your answer here>', '[insert text]', 'not yet available', 'No response given.', 'To be completed', 'tbc', '--', '(placeholder)', 'No data', '同上', 'siehe oben', 'à compléter', 'coming soon.')),
+    ("en", 'other_language', ('Il servizio è stato riavviato perché la cache non era più disponibile e il nodo non rispondeva.', 'O serviço não foi reiniciado porque a cache estava cheia e o nó não respondia mais.', 'Сначала остановите службу, затем очистите кэш и запустите её снова.', 'まずサービスを停止してから、キャッシュを再起動してください。', '서비스를 중지한 다음 캐시를 다시 시작하십시오.', 'أوقف الخدمة أولاً ثم أعد تشغيل ذاكرة التخزين المؤقت.', 'De dienst is niet gestart omdat het geheugen vol was en de node niet meer reageerde.')),
+    ("de", 'other_language', ('Stop the service first, then clear the cache and start it again.',)),
+    ("es", 'other_language', ('O serviço não foi reiniciado porque a cache estava cheia e o nó não respondia mais.',)),
+    ("fr", 'other_language', ('Il servizio è stato riavviato perché la cache non era più disponibile.',)),
+    ("zh", 'other_language', ('まずサービスを停止してから、キャッシュを再起動してください。', 'Stop the service and then start it again.')),
+    ("en", None, ('No.', 'The server refuses connections until the cache has been rebuilt.', 'The node cannot answer requests while the cache is locked, so restart it.', 'I could not reproduce it, but restarting the cache helped.', 'You can not help it with a restart alone; clear the cache.', 'Nothing.', '[1, 2]', 'see node7', 'The cache is not available until node7 restarts.', 'Restart node7 (after midnight).', '<token_cache>restart</token_cache>', 'Non-blocking restart via `cachectl restart --all`.')),
+    ("de", None, ('Der Dienst lehnt Verbindungen ab, bis der Cache neu aufgebaut ist.',)),
+    ("es", None, ('El nodo no puede responder hasta que se reinicie.',)),
+    ("fr", None, ('Le nœud ne peut pas répondre tant que le cache est plein.',)),
+    ("zh", None, ('节点无法提供服务，请重启缓存。', '不会，重启后数据仍然可用。')),
+)
+
+
+def test_held_out_phrasings():
+    """Of answers in other words than the tables' at least 0.9 get their type, and so do sound ones that look like defects."""
+    every = [(lang, want, text) for lang, want, texts in HELD_OUT for text in texts]
+    right = [P.defect(PROMPTS[lang], text) == want for lang, want, text in every]
+    assert len(every) == 90 and sum(right) / len(right) >= 0.9
+
+
 def test_suffix_automaton_is_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):

@@ -1,8 +1,8 @@
 """Defective prompt and response pairs, each with the type of its defect.
 
-A suffix automaton of the prompt is walked along the response to find how much of it is copied; automata of refusal
-phrases label its sentences; delimiter stacks and its last words tell whether it stops early; function words vote for
-its language.
+A suffix automaton of the prompt is walked along the response to find how much of it is copied; an automaton of refusal
+phrases, and of words for who speaks, negation, ability and answering that make refusals together, labels its sentences;
+delimiter stacks and its last words tell whether it stops early; function words and scripts vote for its language.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import spread
 
 #: Share of a response's letters and digits that must come from its prompt for a copy.
 COPIED = 0.6
@@ -33,11 +36,30 @@ REFUSALS = (
     "refuser cette demande", "ne peux pas répondre", "ne peux donc pas répondre", "ne peux pas vous aider", "ne peux pas aider", "ne suis pas en mesure", "ne dit rien de", "je ne sais pas", "impossible de répondre",
     "no puedo ayudar", "no puedo responder", "no puedo contestar", "rechazar esta", "no es posible responder", "no me es posible", "no estoy autorizad", "no menciona", "no lo sé", "no puedo proporcionar",
 )
+# Words of refusals by what they say. A sentence declines if one says that it refuses or has no answer, or if the
+# speaker, a negation, an ability and an act of answering come together.
+REFUSAL_WORDS = {
+    "self": "i we me my us i'm i'd i'll we're assistant ich wir mir mich je nous me m 我 我们 本助手",
+    "negation": "not no cannot can't won't don't couldn't wouldn't unable isn't aren't never nothing nicht nichts nie kein keine keinen keinerlei ne n pas non impossible 无法 不能 不便 不会 不想 不方便 不可以 未能",
+    "ability": "can cannot can't could couldn't able unable won't will would allowed permitted possible willing comfortable position going want don't erlaubt befugt kann können darf dürfen möchte will werde könnte möglich imstande lage peux pouvons puis mesure autorisé autorisée habilité souhaite veux possible impossible 无法 不能 不便 不会 不想 不方便 不可以 未能",
+    "answer": "answer answering help assist provide discuss tell respond comment comply explain share advise fulfill support disclose reveal elaborate beantworten antworten helfen weiterhelfen sagen äußern mitteilen bereitstellen erklären eingehen unterstützen répondre aider dire fournir donner expliquer parler commenter renseigner communiquer 回答 回复 答复 提供 帮助 帮忙 协助 解答 作答 讨论 透露 评论",
+    "spanish": "puedo podemos podré quiero queremos deseo debo debemos capaz posible",
+    "spanish_answer": "responder responderle responderte contestar contestarle ayudar ayudarle ayudarte decir decirle proporcionar proporcionarle dar darle explicar hablar compartir comentar",
+    "refuse": "refuse refusing decline declining lehne verweigere verzichte ablehne refusons décline déclinons rechazo rechazamos niego declino 拒绝 谢绝 恕不",
+}
+# Phrases by which a sentence says that there is no answer.
+NO_ANSWER = (
+    "outside my scope", "outside of my scope", "out of my scope", "beyond my scope", "beyond my capabilities", "beyond my ability", "beyond what i can", "outside what i can", "against my guidelines", "against my policy", "rather not", "prefer not to", "insufficient information", "no information about", "no information on", "have no idea", "have no answer",
+    "außerhalb meines", "außerhalb meiner", "übersteigt meine", "lieber nicht", "keine informationen", "hors de mon", "hors de mes", "dépasse mes", "préfère ne pas", "aucune information", "fuera de mi", "fuera de mis", "supera mis", "prefiero no", "ninguna información", "超出我的", "不在我的", "不知道", "不清楚", "没有相关信息", "没有足够的信息",
+)
+# Single words that decline beside a courtesy.
+BARE_NO = {"no", "nope", "nein", "non", "不", "不行", "but", "aber", "mais", "pero"}
 # Phrases of sentences that say nothing beside a refusal.
 COURTESIES = (
     "contact your administrator", "ask a qualified", "please consult", "sorry", "apologi", "请联系", "抱歉", "对不起", "遗憾", "wenden sie sich", "tut mir leid", "bedaure", "entschuldig",
     "contactez", "veuillez contacter", "désolé", "regrette", "póngase en contacto", "contacte con", "lo siento", "lamento", "disculp",
 )
+COURTESY_WORDS = tuple({w for p in COURTESIES for w in p.split() if len(w) > 1})
 # Function words by language.
 FUNCTION_WORDS = {
     "en": "the a an and or of to in is was be are were that this which with for on by had has have it not as at from until after before when while because so both only its into once again what how why does do",
@@ -45,6 +67,10 @@ FUNCTION_WORDS = {
     "fr": "le la les et ou de du des un une est était sont que qui avec pour sur par il elle ne pas plus dans en après avant quand pendant car ce cette au aux a été à l d reste n sous comme puis nous mais dès lorsque",
     "es": "el la los las y o de del un una es era son que con para por se no más en al tras antes cuando mientras porque su fue ya está hasta sin lo como este esta desde pero si cada había podemos pudimos",
 }
+# Function words of other languages in Latin script, those apart that one of the above has too.
+OTHER_WORDS = "il gli che di della dello dei delle nel nella sono è stato anche questo questa più come però perché não uma com os em é ao dos das são foi mais também isso muito já pelo pela het een van niet omdat meer wel zijn naar dan als er wordt deze dat voor naar maar ook och att det är inte på för med som har var nie jest się na że które przez oraz ale ve bir bu için ile olarak değil"
+# Letters of other scripts.
+OTHER_SCRIPTS = r"[\u0370-\u052f\u0590-\u06ff\u0900-\u0e7f\u3040-\u30ff\u1100-\u11ff\uac00-\ud7af]"
 # How prompts ask for the language of the answer.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés 英文 英语",
@@ -54,13 +80,20 @@ LANGUAGE_NAMES = {
     "es": "spanish spanisch espagnol español 西班牙文 西班牙语",
 }
 # Texts that stand for no answer, without their punctuation.
-PLACEHOLDERS = {"", "null", "none", "nil", "nan", "na", "n a", "tbd", "todo", "br", "nbsp", "undefined", "empty", "answer", "response", "antwort", "réponse", "respuesta", "回答", "答", "答案", "no answer", "placeholder", "lorem ipsum", "keine antwort", "sans réponse", "sin respuesta", "无", "暂无", "待补充", "待定"}
+PLACEHOLDERS = {"", "null", "none", "nil", "nan", "na", "n a", "tbd", "todo", "br", "nbsp", "undefined", "empty", "answer", "response", "antwort", "réponse", "respuesta", "回答", "答", "答案", "no answer", "placeholder", "lorem ipsum", "keine antwort", "sans réponse", "sin respuesta", "无", "暂无", "待补充", "待定", "同上", "见上文", "tbc", "tba", "to follow", "coming soon", "see above", "as above", "siehe oben", "folgt", "voir ci dessus", "à compléter", "véase arriba", "por completar", "pendiente", "pending", "placeholder text"}
 # Last words after which a sentence cannot end.
 HANGING = set("and or but because then the a an of to with for which that und oder aber weil dass der die das den mit für et ou mais parce que car le la les de du des avec pour y o pero porque el los las del con para 而且 并且 以及 因为 但是 然后 或者 和 或 与 的".split())
 
+# Placeholders by their shape: something to be done, something not there, a few words in brackets that hold a place.
+PLACEHOLDER = re.compile(r"(?:still )?to be (?:done|determined|added|completed|filled in|provided|written|confirmed|announced|supplied)|(?:answer |response |text )?not (?:yet )?(?:available|provided|applicable|written)|no (?:answer|response|reply|data|content|text)(?: (?:yet|available|given|provided))?")
+BRACKETED = re.compile(r"\W*(?:\[{1,2}|<{1,2}|\{{2}|\(|【|（)\s*[^\W\d_]+(?:[ _-][^\W\d_]+){0,3}\s*(?:\]{1,2}|>{1,2}|\}{2}|\)|】|）)\W*")
 CJK = re.compile(r"[㐀-鿿豈-﫿]")
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 NAMES = re.compile(r"[!-~]*[0-9_/\\=@#<>{}$|][!-~]*")
+SCRIPTS, KANA = re.compile(OTHER_SCRIPTS), re.compile(r"[\u3040-\u30ff]")
+ALNUM, TAGS, SPLIT = re.compile(r"[^\W_]+"), re.compile(r"</?[a-zA-Z][^>]*>|&nbsp;|```\w*"), re.compile(r"[^\w']+|(?<=\w)'(?=\w{3})")
+NAMED = {name: lang for lang, names in LANGUAGE_NAMES.items() for name in names.split()}
+ASKED_LANGUAGE = re.compile(rf"\b(?:in|auf|en|reply|answer|respond|antworte\w*|répond\w*|respond\w*)\s+({'|'.join(NAMED)})\b|用({'|'.join(NAMED)})", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 LIST_ITEM = re.compile(r"^\s*(?:[-*+•·–~]|\d{1,3}[.)、]|[(（]?[a-zA-Z\d][)）])(?:\s+|$)")
@@ -117,8 +150,19 @@ class SuffixAutomaton:
         return out
 
 
+SIGNS = re.compile(r"[\W_]+")
+
+
 def letters(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
+    return SIGNS.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+
+
+@lru_cache(maxsize=4096)
+def prompt_letters(prompt: str) -> tuple[str, frozenset[str], int]:
+    """A prompt's letters and digits, its runs of the least length that counts, and that length."""
+    own = letters(prompt)
+    size = min(RUN, max(3, len(own) // 2))
+    return own, frozenset(own[i : i + size] for i in range(len(own) - size + 1)), size
 
 
 @lru_cache(maxsize=512)
@@ -128,28 +172,62 @@ def prompt_automaton(prompt: str) -> SuffixAutomaton:
 
 @lru_cache(maxsize=1)
 def phrase_automaton() -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for kind, phrases in (("courtesy", COURTESIES), ("refusal", REFUSALS)):
+    """Phrases and words of refusals with what they say; Latin words only as whole words."""
+    kinds: dict[str, set[str]] = {}
+    for kind, phrases in (("courtesy", COURTESIES), ("refusal", REFUSALS), ("refusal", NO_ANSWER)):
         for p in phrases:
-            found.add_word(p, kind)
+            kinds.setdefault(p, set()).add(kind)
+    for kind, words in REFUSAL_WORDS.items():
+        for w in words.split():
+            kinds.setdefault(w if CJK.match(w) else f" {w} ", set()).add(kind)
+    found = ahocorasick.Automaton()
+    for p, k in kinds.items():
+        found.add_word(p, frozenset(k))
     found.make_automaton()
     return found
 
 
+def declines(sentence: str) -> tuple[bool, bool]:
+    """Whether a sentence in lower case declines, and whether it is a courtesy."""
+    plain = f" {SPLIT.sub('  ', sentence)} "
+    kinds: set[str] = set()
+    for text in (sentence, plain):
+        for _, k in phrase_automaton().iter(text):
+            kinds |= k
+    courtesy, words = "courtesy" in kinds, WORDS.findall(sentence)
+    if "refusal" in kinds:
+        return True, courtesy
+    chinese = bool(CJK.search(sentence))
+    if "refuse" in kinds and ("self" in kinds or chinese or len(words) <= 4):
+        return True, courtesy
+    if {"negation", "ability", "answer"} <= kinds and ("self" in kinds or chinese and len(sentence) < 40):
+        return True, courtesy
+    if {"negation", "spanish", "spanish_answer"} <= kinds:
+        return True, courtesy
+    if {"self", "negation", "answer"} <= kinds and len(words) <= 8:
+        return True, courtesy
+    if not courtesy or BARE_NO.isdisjoint(words):
+        return False, courtesy
+    return all(w in BARE_NO or w.startswith(COURTESY_WORDS) for w in words), courtesy
+
+
 def is_empty(response: str | None) -> bool:
     if response is None:
         return True
-    bare = re.sub(r"</?[a-zA-Z][^>]*>|&nbsp;|```\w*", " ", response)
-    words = " ".join(re.findall(r"[^\W_]+", bare)).lower()
-    return words in PLACEHOLDERS
+    if len(response) > 400 and ALNUM.search(response):
+        return False
+    bare = TAGS.sub(" ", response)
+    words = " ".join(ALNUM.findall(bare)).lower()
+    return words in PLACEHOLDERS or len(bare) < 80 and (PLACEHOLDER.fullmatch(words) is not None or BRACKETED.fullmatch(bare) is not None)
 
 
 def is_copy(prompt: str | None, response: str) -> bool:
     """Whether the response gives the prompt back and nothing after it. A lead-in before it is only its dress."""
-    own, text = letters(prompt or ""), letters(response)
-    if len(own) < 4 or not text or len(text) < 0.4 * len(own):
+    own, runs, size = prompt_letters(prompt or "")
+    text = letters(response)
+    if len(own) < 4 or not text or len(text) < 0.4 * len(own) or not any(text[i : i + size] in runs for i in range(len(text) - size + 1)):
         return False
-    cover = prompt_automaton(own).covered(text, min(RUN, max(3, len(own) // 2)))
+    cover = prompt_automaton(own).covered(text, size)
     n = sum(cover)
     if n < COPIED * len(text) or n < 0.5 * len(own):
         return False
@@ -165,21 +243,26 @@ def is_refusal(response: str) -> bool:
     for sentence in SENTENCE.split(text):
         if not letters(sentence):
             continue
-        kinds = {kind for _, kind in phrase_automaton().iter(sentence)}
-        if not kinds or len(sentence) > 220:
+        no, courtesy = declines(sentence)
+        if not (no or courtesy) or len(sentence) > 220:
             return False
-        declined |= "refusal" in kinds
+        declined |= no
     return declined
 
 
 def language_votes(text: str) -> Counter:
     """Votes of function words and Chinese characters; words of several languages count little, code, names and commands not at all."""
     plain = NAMES.sub(" ", CODE.sub(" ", text)).replace("’", " ").replace("'", " ")
-    votes = Counter({"zh": len(CJK.findall(plain)) / 2})
+    votes = Counter({"zh": len(CJK.findall(plain)) / 2, "other": 2 * len(SCRIPTS.findall(plain)) / 3})
+    if votes["other"]:  # Japanese is written with Chinese characters too
+        votes["other"] += votes["zh"] if KANA.search(plain) else 0
+        votes["zh"] = 0 if KANA.search(plain) else votes["zh"]
+    known = voters()
     for word in WORDS.findall(plain.lower()):
-        langs = voters().get(word, ())
-        for lang in langs:
-            votes[lang] += 1 if len(langs) == 1 else 0.25
+        langs = known.get(word)
+        if langs:
+            for lang in langs:
+                votes[lang] += 1 if len(langs) == 1 else 0.25
     return votes
 
 
@@ -189,6 +272,9 @@ def voters() -> dict[str, list[str]]:
     for lang, words in FUNCTION_WORDS.items():
         for w in words.split():
             out.setdefault(w, []).append(lang)
+    for w in OTHER_WORDS.split():
+        if w not in out:
+            out[w] = ["other"]
     return out
 
 
@@ -202,14 +288,14 @@ def winner(votes: Counter, least: float) -> str | None:
 @lru_cache(maxsize=4096)
 def wanted_language(prompt: str) -> str | None:
     """The language a prompt asks for, else the one it is in."""
-    for lang, names in LANGUAGE_NAMES.items():
-        for name in names.split():
-            if re.search(rf"(?:\b(?:in|auf|en|reply|answer|respond|antworte\w*|répond\w*|respond\w*)\s+{name}\b)|(?:用{name})", prompt, re.I):
-                return lang
+    asked = ASKED_LANGUAGE.search(prompt)
+    if asked:
+        return NAMED[(asked[1] or asked[2]).lower()]
     votes = language_votes(prompt)
     if re.search("[¿¡]", prompt):
         votes["es"] += 2
-    return winner(votes, 1)
+    best = winner(votes, 1)
+    return None if best == "other" else best
 
 
 # One-word answers by language.
@@ -224,8 +310,8 @@ def is_other_language(prompt: str | None, response: str) -> bool:
     if short:
         return short != want
     votes = language_votes(response)
-    got = winner(votes, 2)
-    return got is not None and got != want and votes[want] <= 0.4 * votes[got]
+    most = max((n for lang, n in votes.items() if lang != want), default=0)
+    return most >= 2 and votes[want] <= 0.4 * most
 
 
 def is_truncated(response: str) -> bool:
@@ -282,12 +368,21 @@ def defect(prompt: str | None, response: str | None) -> str | None:
 
 
 def defective_pairs(items: DataFrame, key: str = "item_id", prompt: str = "query", response: str = "response") -> DataFrame:
-    """key, defect of each defective pair. Repeated rows count once; rows with a null key keep it."""
+    """key, defect of each defective pair. Repeated rows count once; rows with a null key keep it.
+
+    What built-in expressions can tell is not sent to Python: responses without a letter or digit are empty, those that equal
+    their prompt are copies. The rest comes sorted by prompt, so that a prompt's automaton and language are made once.
+    """
     kind = dict(items.dtypes)[key]
+    p, r = F.coalesce(F.col(prompt), F.lit("")), F.coalesce(F.col(response), F.lit(""))
+    sure = F.when(~r.rlike(r"[\p{L}\p{N}]"), "empty").when((r == p) & (F.length(p) >= 20) & (F.size(F.split(p, r"[^\p{L}\p{N}]+")) > 5), "copy")
+    rows = items.select(F.col(key), p.alias("_p"), r.alias("_r"), sure.alias("defect"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame({key: batch[key], "defect": [defect(p, r) for p, r in zip(batch[prompt], batch[response])]})
+            out = pd.DataFrame({key: batch[key], "defect": [defect(p, r) for p, r in zip(batch["_p"], batch["_r"])]})
             yield out[out["defect"].notna()]
 
-    return items.select(key, prompt, response).mapInPandas(run, f"{key} {kind}, defect string").distinct()
+    told = rows.where("defect is not null").select(key, "defect")
+    judged = spread(rows.where("defect is null").select(key, "_p", "_r")).sortWithinPartitions("_p").mapInPandas(run, f"{key} {kind}, defect string")
+    return told.unionByName(judged).distinct()
