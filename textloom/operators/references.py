@@ -1,8 +1,9 @@
 """References to records that do not exist.
 
 Keys are dictionary-encoded as integers, laid out in key ranges. References and parents become bitmaps per key range
-and period; reference AND-NOT parent leaves the bits of the keys with a broken reference, which are decoded again and
-joined with the references themselves, where an exact comparison gives the reason.
+and period; parents are added up over the periods, and reference AND-NOT parent leaves the bits of the keys with a broken
+reference, which are decoded again and joined with the references themselves, where an exact comparison gives the reason.
+References with the state of their records, and the dictionary, are staged: each is made once, however often it is read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..session import staged
+
 #: Keys meant for one range, below the 32 768 bits of one of Spark's bitmaps.
 KEYS_PER_RANGE = 24_000
 RANGE_BITS = 24
@@ -26,9 +29,16 @@ def norm_key(key: Column) -> Column:
     return F.when(out != "", out)
 
 
-def record_states(rows: DataFrame) -> DataFrame:
-    """rows (key, at, deleted), one per delivery -> one row per key: first_at, deleted as of its latest delivery."""
-    return rows.where("key is not null").groupBy("key").agg(F.min("at").alias("first_at"), F.max_by("deleted", "at").alias("deleted"))
+def with_states(rows: DataFrame) -> DataFrame:
+    """rows (key, ref_key, at, deleted), one per delivery and reference -> one per key and ref_key: at, the earliest delivery
+    that makes the reference, first_at, the earliest of the record, and gone, whether it is deleted as of its latest one.
+
+    A record without references keeps one row with a null ref_key. Repeated rows are reduced before they are shuffled; a record
+    with very many references is joined with its state, so that it can be split.
+    """
+    each = rows.where("key is not null").groupBy("key", "ref_key").agg(F.min("at").alias("at"), F.max(F.struct("at", "deleted")).alias("last"))
+    state = each.groupBy("key").agg(F.min("at").alias("first_at"), F.max("last").alias("last"))
+    return each.drop("last").join(state, "key").select("key", "ref_key", "at", "first_at", F.col("last.deleted").alias("gone"))
 
 
 def _month(at: Column) -> Column:
@@ -66,7 +76,7 @@ def key_dictionary(keys: DataFrame, ranges: int) -> DataFrame:
     )
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """References whose parent is missing, deleted or late.
 
     refs: src_table, src_key, ref_key, at - one row per reference, at = its earliest delivery.
@@ -77,32 +87,31 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int) -> DataF
     """
     refs = refs.withColumn("ref_month", _month(F.col("at")))
     used = refs.groupBy(F.col("src_table").alias("space"), F.col("ref_key").alias("key"), "ref_month").agg(F.min("at").alias("at"))
-    known = parents.select(F.col("src_table").alias("space"), "key", "first_at", "deleted", F.lit(True).alias("there"))
-    wanted = used.select("space", "key", F.lit(None).cast(known.schema["first_at"].dataType).alias("first_at"), F.lit(None).cast("boolean").alias("deleted"), F.lit(None).cast("boolean").alias("there"))
-    merged = known.unionByName(wanted).groupBy("space", "key").agg(F.max("first_at").alias("first_at"), F.max("deleted").alias("deleted"), F.max("there").alias("there"))
-    codes = key_dictionary(merged, ranges)
+    known = parents.select(F.col("src_table").alias("space"), "key", "first_at", "deleted", F.lit(True).alias("there"), F.lit(None).cast("string").alias("ref_month"), F.lit(None).cast(refs.schema["at"].dataType).alias("at"))
+    wanted = used.select("space", "key", F.lit(None).cast(known.schema["first_at"].dataType).alias("first_at"), F.lit(None).cast("boolean").alias("deleted"), F.lit(None).cast("boolean").alias("there"), "ref_month", "at")
+    # One row per key, with the months that refer to it; those are as many as there are periods.
+    merged = staged(
+        known.unionByName(wanted)
+        .groupBy("space", "key")
+        .agg(F.max("first_at").alias("first_at"), F.max("deleted").alias("deleted"), F.max("there").alias("there"), F.collect_list(F.when(F.col("ref_month").isNotNull(), F.struct("ref_month", "at"))).alias("asked")),
+        "keys",
+    )
+    codes = staged(key_dictionary(merged, max(1, -(-merged.count() // KEYS_PER_RANGE))), "codes")
 
     live = F.col("there") & ~F.col("deleted")
-    coded = used.join(codes, ["space", "key"])
-    early = live & (_month(F.col("first_at")) == F.col("ref_month")) & (F.col("at") < F.col("first_at"))
+    coded = codes.select("space", "block", "bit", "first_at", live.alias("live"), F.inline("asked"))
+    early = F.coalesce(F.col("live") & (_month(F.col("first_at")) == F.col("ref_month")) & (F.col("at") < F.col("first_at")), F.lit(False))
     bits = (
-        coded.withColumn("early", F.coalesce(early, F.lit(False)))
-        .groupBy("space", "block", "ref_month")
+        coded.withColumn("early", early)
+        .groupBy("space", "block", F.col("ref_month").alias("month"))
         .agg(F.expr("bitmap_construct_agg(bit)").alias("ref_bits"), F.expr("bitmap_construct_agg(bit) filter (where early)").alias("early_bits"))
     )
     here = codes.where(live).groupBy("space", "block", _month(F.col("first_at")).alias("month")).agg(F.expr("bitmap_construct_agg(bit)").alias("live_bits"))
-    cleared = (
-        bits.select("space", "block", "ref_month")
-        .join(here, ["space", "block"])
-        .where("month <= ref_month")
-        .groupBy("space", "block", "ref_month")
-        .agg(F.expr("bitmap_or_agg(live_bits)").alias("live_bits"))
-    )
-    left = (
-        bits.join(cleared, ["space", "block", "ref_month"], "left")
-        .select("space", "block", "ref_month", F.explode(F.array_union(_surviving("ref_bits", "live_bits"), _surviving("early_bits", F.lit(None).cast("binary")))).alias("bit"))
-        .withColumn("bit", F.col("bit").cast("long"))
-    )
+    # Parents up to each month: a running OR over the months of a block.
+    both = bits.withColumn("live_bits", F.lit(None).cast("binary")).unionByName(here.withColumn("ref_bits", F.lit(None).cast("binary")).withColumn("early_bits", F.lit(None).cast("binary")))
+    until = W.partitionBy("space", "block").orderBy("month").rangeBetween(W.unboundedPreceding, W.currentRow)
+    cleared = both.withColumn("live_bits", F.expr("bitmap_or_agg(live_bits)").over(until)).where("ref_bits is not null")
+    left = cleared.select("space", "block", F.col("month").alias("ref_month"), F.explode(F.array_union(_surviving("ref_bits", "live_bits"), _surviving("early_bits", F.lit(None).cast("binary")))).alias("bit")).withColumn("bit", F.col("bit").cast("long"))
     broken = left.join(codes, ["space", "block", "bit"]).select(F.col("space").alias("src_table"), F.col("key").alias("ref_key"), "ref_month", "first_at", "deleted", "there")
     reason = F.when(F.col("there").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("first_at") > F.col("at"), "late")
     return (
@@ -126,15 +135,12 @@ def node_doc_orphans(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         return df.select(norm_key(F.col(key)).alias("key"), F.coalesce("loaded_at", nowhen).alias("at"), F.col("deleted_at").isNotNull().alias("deleted"), *more)
 
     n = rows(nodes, "node_id", norm_key(F.col("ref_doc_id")).alias("ref_key"))
-    d = rows(docs, "ref_doc_id", F.from_json("node_ids", T.ArrayType(T.StringType())).alias("ids"))
-    states = {"kb_nodes": record_states(n), "kb_docs": record_states(d)}
-    pairs = {"kb_nodes": n, "kb_docs": d.select("key", "at", F.explode("ids").alias("id")).withColumn("ref_key", norm_key(F.col("id")))}
-    refs = None
-    for name, p in pairs.items():
-        own = p.where("key is not null and ref_key is not null").groupBy("key", "ref_key").agg(F.min("at").alias("at"))
-        own = own.join(states[name].where("deleted").select("key"), "key", "left_anti")
-        own = own.select(F.lit(name).alias("src_table"), F.col("key").alias("src_key"), "ref_key", "at")
-        refs = own if refs is None else refs.unionByName(own)
-    parents = states["kb_docs"].withColumn("src_table", F.lit("kb_nodes")).unionByName(states["kb_nodes"].withColumn("src_table", F.lit("kb_docs")))
-    ranges = max(1, -(-nodes.select("node_id").count() // KEYS_PER_RANGE))
-    return orphan_references(refs, parents, ranges)
+    listed = rows(docs, "ref_doc_id", F.from_json("node_ids", T.ArrayType(T.StringType())).alias("ids"))
+    d = listed.select("key", "at", "deleted", F.explode_outer("ids").alias("id")).select("key", "at", "deleted", norm_key(F.col("id")).alias("ref_key"))
+    found = {"kb_nodes": staged(with_states(n), "references"), "kb_docs": staged(with_states(d), "references")}
+    refs = parents = None
+    for name, other in (("kb_nodes", "kb_docs"), ("kb_docs", "kb_nodes")):
+        own = found[name].where("ref_key is not null and not gone").select(F.lit(name).alias("src_table"), F.col("key").alias("src_key"), "ref_key", "at")
+        to = found[other].groupBy("key").agg(F.min("first_at").alias("first_at"), F.max("gone").alias("deleted")).withColumn("src_table", F.lit(name))
+        refs, parents = (own, to) if refs is None else (refs.unionByName(own), parents.unionByName(to))
+    return orphan_references(refs, parents)
