@@ -198,3 +198,26 @@ def test_semantic_chunks_keep_all_sentences(spark):
     rows = K.semantic_chunks(docs(spark, [text, None, "", "single"])).orderBy("doc_id", "chunk_index").collect()
     assert " ".join(r.chunk for r in rows if r.doc_id == 0).split() == " ".join(["one cat sat.", "one cat ran.", "one cat slept.", "A wholly other matter here!", "另一句。"]).split()
     assert len([r for r in rows if r.doc_id == 0]) == 2 and [r.chunk for r in rows if r.doc_id == 3] == ["single"]
+
+
+def test_loaders(spark, tmp_path):
+    for name, body in (("a.txt", "one"), ("sub/b.md", "two"), ("sub/skip_c.md", "three"), ("d.pdf", "x"), ("tmp/e.txt", "four")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    root = str(tmp_path)
+    assert {r.text for r in files.load_texts(spark, root).collect()} == {"one", "two", "three", "four"}
+    assert {r.text for r in files.load_texts(spark, root, exclude=("skip_*", "tmp/*")).collect()} == {"one", "two"}
+    assert files.load_file(spark, f"{root}/a.txt").first().text == "one"
+    for name, error in (("none.txt", FileNotFoundError), ("d.pdf", ValueError)):
+        with pytest.raises(error):
+            files.load_file(spark, f"{root}/{name}")
+    assert {r.text for r in files.load_files(spark, [f"{root}/a.txt", f"{root}/none.txt", f"{root}/d.pdf"]).collect()} == {"one"}
+    assert files.load_files(spark, [f"{root}/none.txt"]).count() == 0
+
+
+def test_table_titles(spark):
+    table = "| a | b |\n|---|---|\n| 1 | 2 |"
+    text = f"表 1-2 Options\n\n{table}\n\ntext\n**表 2** \n{table}\n# head\n{table}\n\n表 9 far" + "\n" * 12 + table
+    rows = C.table_titles(docs(spark, [text, None, ""])).orderBy("table_no").collect()
+    assert [(r.table_no, r.title) for r in rows] == [(1, "表 1-2 Options"), (2, "表 2"), (3, ""), (4, "")]
+    assert rows[0].link == "[表 1-2 Options](tables/table_1_表_1-2_Options.md)"

@@ -93,6 +93,24 @@ def table_islands(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
 
 
+# A table's title line, and the lines at which the search for one ends.
+TABLE_TITLE, TITLE_STOPS = r"^\*{0,2}表\s*\*{0,2}([0-9][-.0-9]*)\s*\*{0,2}\s*(.*)$", r"^(?:#|\*{0,2}表)"
+#: Lines above a table that are searched for its title.
+TITLE_REACH = 9
+
+
+def table_titles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, table_no, start_line, title, link of every table; the title is empty where the nearest heading or title line above is none."""
+    tables = table_islands(docs, key, text).withColumn("table_no", F.row_number().over(W.partitionBy(key).orderBy("start_line")))
+    lines = document_lines(docs, key, text).select(F.col(key).alias("_k"), "pos", strip(F.col("line")).alias("line")).where(F.col("line").rlike(TITLE_STOPS))
+    above = tables.join(lines, (F.col(key) == F.col("_k")) & F.col("pos").between(F.col("start_line") - TITLE_REACH, F.col("start_line") - 1))
+    nearest = above.groupBy(key, "table_no").agg(F.max_by("line", "pos").alias("line")).where(F.col("line").rlike(TABLE_TITLE))
+    named = tables.join(nearest, [key, "table_no"], "left").withColumn("title", F.coalesce(F.rtrim(F.regexp_replace("line", TABLE_TITLE, "表 $1 $2")), F.lit("")))
+    name = F.substring(F.regexp_replace("title", r"[^\p{L}\p{N}_-]", "_"), 1, 50)
+    link = F.concat(F.lit("["), "title", F.lit("](tables/table_"), F.col("table_no").cast("string"), F.lit("_"), name, F.lit(".md)"))
+    return named.select(key, "table_no", "start_line", "title", link.alias("link"))
+
+
 def title(text: Column) -> Column:
     """The heading if the text is one heading line, else the first of 5 lines with more than 10 characters that is none, cut to 50; may be null."""
     whole = F.regexp_extract(text, r"\A#\s+([^\n]+)\z", 1)

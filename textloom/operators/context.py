@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -26,15 +28,17 @@ def within_budget(results: DataFrame, budget: int, dressed: bool, keep_empty: bo
     return contexts if keep_empty else contexts.where("used > 0")
 
 
-# The answer prompt.
-PROMPT = "Context information is below.\n---------------------\n{context}\n---------------------\nGiven the context information and not prior knowledge, answer the question.\nQuestion: {question}\nAnswer: "
+# Prompt templates by style.
+PROMPTS = {
+    "compact": "Context:\n{context_str}\n\nQuestion: {query_str}\nAnswer based on the context above:",
+    "refine": "We have an existing answer to the question:\n{existing_answer}\n\nWe have the opportunity to refine this answer (only if needed) with some more context below.\n\nContext:\n{context_msg}\n\nQuestion: {query_str}\n\nGiven the new context, refine the original answer to better answer the question.\nIf the context is not helpful, output the same original answer.\nRefined Answer:",
+}
 
 
-def prompt(context, question):
-    """The prompt with its two places filled; values are not searched for places again."""
-    before, rest = PROMPT.split("{context}")
-    middle, after = rest.split("{question}")
-    return F.concat(F.lit(before), context, F.lit(middle), question, F.lit(after))
+def prompt(style: str, **values: Column) -> Column:
+    """A template with its places filled; values are not searched for places again."""
+    parts = re.split(r"\{(\w+)\}", PROMPTS[style])
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
 def turns(items: DataFrame, conversation: str, item: str, span: int = 10_000) -> DataFrame:

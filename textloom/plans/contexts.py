@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +61,26 @@ SQL["context_whole"] = f"select query_id, coalesce(context, '') context, coalesc
 @query
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     c = context_budget(spark, d).join(Q.asked(spark, d), "query_id")
-    return c.select("query_id", X.prompt(F.col("context"), F.col("query_text")).alias("prompt"))
+    return c.select("query_id", X.prompt("compact", context_str=F.col("context"), query_str=F.col("query_text")).alias("prompt"))
+
+
+def _prompt(style: str, **values: str) -> str:
+    parts = re.split(r"\{(\w+)\}", X.PROMPTS[style])
+    return " || ".join(values[p] if i % 2 else f"'{p}'" for i, p in enumerate(parts))
 
 
-_BEFORE, _REST = X.PROMPT.split("{context}")
-_MIDDLE, _AFTER = _REST.split("{question}")
-SQL["prompt_build"] = f"select query_id, '{_BEFORE}' || context || '{_MIDDLE}' || query_text || '{_AFTER}' prompt from ({SQL['context_budget']}) join {Q._ASKED} using (query_id)"
+SQL["prompt_build"] = f"select query_id, {_prompt('compact', context_str='context', query_str='query_text')} prompt from ({SQL['context_budget']}) join {Q._ASKED} using (query_id)"
+
+
+@query
+def prompt_refine(spark: SparkSession, d: str) -> DataFrame:
+    """The stored response of each question put up for refinement with the best text that was found."""
+    best = ranked_texts(spark, d).where("rank = 1").join(Q.asked(spark, d), "query_id")
+    said = read(spark, d, "eval_items").where("item_id is not null").groupBy(F.col("item_id").alias("query_id")).agg(F.min(F.coalesce("response", F.lit(""))).alias("response"))
+    return best.join(said, "query_id").select("query_id", X.prompt("refine", existing_answer=F.col("response"), context_msg=F.col("text"), query_str=F.col("query_text")).alias("prompt"))
+
+
+SQL["prompt_refine"] = f"select query_id, {_prompt('refine', existing_answer='response', context_msg='text', query_str='query_text')} prompt from (select * from {_RANKED} where rank = 1) join {Q._ASKED} using (query_id) join (select item_id query_id, min(coalesce(response, '')) response from eval_items where item_id is not null group by 1) using (query_id)"
 
 
 @query
@@ -187,9 +203,14 @@ SQL["eval_dataset"] = "select source_file, node_id expected_id, substring(text,
 
 @query
 def parse_config(spark: SparkSession, d: str) -> DataFrame:
-    """Splitter configurations type:size:overlap, written into the documents' language and id, with defaults for what is no number."""
-    c = read(spark, d, "documents").select("doc_id", F.concat_ws(":", F.trim(F.coalesce("lang", F.lit("text"))), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")).otherwise("x"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 97).cast("string"))).alias("config"))
-    return c.select("doc_id", F.split_part("config", F.lit(":"), F.lit(1)).alias("kind"), F.coalesce(F.expr("try_cast(split_part(config, ':', 2) as int)"), F.lit(512)).alias("size"), F.coalesce(F.expr("try_cast(split_part(config, ':', 3) as int)"), F.lit(50)).alias("overlap"))
+    """Texts of the form name:number:number read as splitter configurations type:size:overlap, with defaults for what is no number.
+
+    The tables hold no configurations; every first line of a document is read as one, as any text may be given for it.
+    """
+    c = read(spark, d, "documents").where("text is not null").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("config"))
+    number = "try_cast(regexp_extract(split_part(config, ':', {0}), '^ *([+-]?[0-9]{{1,9}}) *$', 1) as int)"
+    return c.select("doc_id", F.split_part("config", F.lit(":"), F.lit(1)).alias("kind"), F.coalesce(F.expr(number.format(2)), F.lit(512)).alias("size"), F.coalesce(F.expr(number.format(3)), F.lit(50)).alias("overlap"))
 
 
-SQL["parse_config"] = "select doc_id, split_part(c, ':', 1) kind, coalesce(try_cast(split_part(c, ':', 2) as int), 512) size, coalesce(try_cast(split_part(c, ':', 3) as int), 50) overlap from (select doc_id, concat_ws(':', trim(coalesce(lang, 'text')), case when doc_id % 3 <> 0 then doc_id::varchar else 'x' end, case when doc_id % 5 <> 0 then (doc_id % 97)::varchar end) c from documents)"
+_NUMBER = "try_cast(regexp_extract(split_part(c, ':', {0}), '^ *([+-]?[0-9]{{1,9}}) *$', 1) as int)"
+SQL["parse_config"] = f"select doc_id, split_part(c, ':', 1) kind, coalesce({_NUMBER.format(2)}, 512) size, coalesce({_NUMBER.format(3)}, 50) overlap from (select doc_id, split_part(text, chr(10), 1) c from documents where text is not null)"

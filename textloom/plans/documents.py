@@ -120,6 +120,19 @@ select file_id, pos, {_STRIP.format('l')} line from (select file_id, unnest(rang
 where {_TABLE.format('line')}) group by file_id, island) where rule_line = start_line + 1"""
 
 
+@query
+def md_table_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Tables with the title line above them, and the link that stands for each in an index."""
+    return C.table_titles(scans(spark, d), "file_id")
+
+
+_LINES = f"(select file_id, pos, {_STRIP.format('l')} line from (select file_id, unnest(range(len(s)))::int pos, unnest(s) l from (select file_id, string_split(text, chr(10)) s from {_SCANS})))"
+SQL["md_table_titles"] = rf"""with t as (select *, row_number() over (partition by file_id order by start_line)::int table_no from ({SQL['md_extract_tables']})),
+m as (select t.file_id, table_no, max_by(line, pos) line from t join {_LINES} l on l.file_id = t.file_id and pos between start_line - 9 and start_line - 1 where regexp_matches(line, '{C.TITLE_STOPS}') group by all),
+n as (select file_id, table_no, rtrim(regexp_replace(line, '{C.TABLE_TITLE}', '表  ')) title from m where regexp_matches(line, '{C.TABLE_TITLE}'))
+select t.file_id, t.table_no, t.start_line, coalesce(title, '') title, '[' || coalesce(title, '') || '](tables/table_' || t.table_no || '_' || substring(regexp_replace(coalesce(title, ''), '[^\p{{L}}\p{{N}}_-]', '_', 'g'), 1, 50) || '.md)' link from t left join n using (file_id, table_no)"""
+
+
 @query
 def doc_title(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", C.title(F.col("text")).alias("title"))

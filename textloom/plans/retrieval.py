@@ -301,14 +301,40 @@ SQL["table_lookup"] = "select file_id, path, regexp_extract(path, '[^/]*$') as n
 
 @query
 def rerank_remap(spark: SparkSession, d: str) -> DataFrame:
-    """A scorer's answer, pairs of position and score, mapped back to the results by position."""
-    base = R.bm25(asked(spark, d), documents(spark, d), 5)
-    answer = base.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: F.struct((x["rank"] - 1).alias("index"), F.round(1 / (1 + F.pmod(x["doc_id"], F.lit(7))), 6).alias("relevance_score"))).alias("results"))
-    scored = answer.select("query_id", F.inline("results")).join(base.select("query_id", "doc_id", (F.col("rank") - 1).alias("index")), ["query_id", "index"]).withColumn("score", F.col("relevance_score"))
+    """A scorer's answer in JSON, positions with scores in its own order, mapped back to the results. The scorer here is word overlap."""
+    base = R.bm25(asked(spark, d), documents(spark, d), 5).select("query_id", "doc_id", (F.col("rank") - 1).alias("index"))
+    judged = base.join(documents(spark, d), "doc_id").join(asked(spark, d), "query_id").select("query_id", F.struct("index", R.overlap_score(F.col("query_text"), F.col("text")).alias("relevance_score")).alias("r"))
+    answer = judged.groupBy("query_id").agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list("r"), asc=False).alias("results")).alias("output"))).alias("answer"))
+    read_back = F.from_json("answer", "output struct<results: array<struct<index: int, relevance_score: double>>>")["output"]["results"]
+    scored = answer.select("query_id", F.inline(read_back)).join(base, ["query_id", "index"]).withColumnRenamed("relevance_score", "score")
     return R.top_k(scored, 3).select("query_id", "doc_id", "score", "rank")
 
 
-SQL["rerank_remap"] = f"select query_id, doc_id, score, rank::int rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (select query_id, doc_id, round(1 / (1 + doc_id % 7), 6) score from ({_bm25(_ASKED)}) where rank <= 5)) where rank <= 3"
+SQL["rerank_remap"] = f"""select query_id, doc_id, score, rank::int rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (
+select query_id, doc_id, {_JACCARD} score from (select f.query_id, f.doc_id, list_distinct(regexp_extract_all(lower(query_text), '{WORD}')) a, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{WORD}')) b
+from ({_bm25(_ASKED).replace(f'rank <= {K}', 'rank <= 5')}) f join documents using (doc_id) join {_ASKED} q on q.query_id = f.query_id))) where rank <= 3"""
+
+
+def by_mode(spark: SparkSession, d: str, mode: str | None) -> DataFrame:
+    """Ranked lists for titles by retrieval mode: vector, sparse, or hybrid for any other name and for none."""
+    dense, sparse = lists(spark, d)
+    return {"vector": dense, "sparse": sparse}.get(mode, R.rrf([dense, sparse], K))
+
+
+@query
+def retrieve_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The three modes' lists, and how many of a mode's documents the hybrid list holds too."""
+    rows = None
+    for mode in ("vector", "sparse", None):
+        part = by_mode(spark, d, mode).select("query_id", "doc_id", F.lit(mode or "hybrid").alias("mode"))
+        rows = part if rows is None else rows.unionByName(part)
+    both = rows.groupBy("query_id", "doc_id").agg(F.collect_set("mode").alias("modes"))
+    return both.select("query_id", F.explode("modes").alias("mode"), F.array_contains("modes", "hybrid").cast("int").alias("kept")).groupBy("query_id", "mode").agg(F.count("*").alias("found"), F.sum("kept").alias("kept"))
+
+
+SQL["retrieve_modes"] = f"""with {_LISTS}, hybrid as ({_top("select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) score from (select query_id, doc_id, rank from dense union all select query_id, doc_id, rank from sparse) group by all")}),
+a as (select query_id, doc_id, 'vector' mode from dense union all select query_id, doc_id, 'sparse' from sparse union all select query_id, doc_id, 'hybrid' from hybrid)
+select a.query_id, mode, count(*) found, count(h.doc_id) kept from a left join hybrid h on h.query_id = a.query_id and h.doc_id = a.doc_id group by all"""
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read
+from ..session import read, scratch
 from ..streaming import ingest as S
 from .stores import _LATEST, _SHOWN
 
@@ -43,8 +43,8 @@ SQL["stream_sessions"] = "select user_id, (sum((epoch_us(ts) - coalesce(p, -1e18
 @query
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The node table put into a store by a stream: the last row of each node, with its document and length."""
-    store = S.scratch(spark, "store")
-    S.ingest(stream(spark, d, "kb_nodes"), store, S.scratch(spark, "marks")).awaitTermination()
+    store = scratch(spark, "store")
+    S.ingest(stream(spark, d, "kb_nodes"), store, scratch(spark, "marks")).awaitTermination()
     return S.current(spark, store).select("node_id", "ref_doc_id", F.length("text").alias("chars"), F.col("deleted_at").isNotNull().alias("deleted"))
 
 

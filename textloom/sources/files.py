@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +11,53 @@ from pyspark.sql import functions as F
 SUPPORTED = (".pdf", ".txt", ".md", ".docx", ".html", ".htm", ".json", ".csv", ".xlsx", ".pptx", ".py", ".java", ".cpp", ".c", ".h", ".hpp", ".go", ".js", ".ts", ".jsx", ".tsx")
 
 
-def load_texts(spark: SparkSession, path: str, recursive: bool = True, exclude: str | None = None) -> DataFrame:
-    """source_file, text, bytes of all supported text files below a folder; exclude is a pattern over the whole path.
+#: Of those, the ones that are text.
+TEXTS = tuple(e for e in SUPPORTED if e not in (".pdf", ".docx", ".xlsx", ".pptx"))
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of some paths that are there, in their order."""
+    out = []
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            out.append(p)
+    return out
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    return files.select(F.col("path").alias("source_file"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("bytes"))
+
+
+def load_texts(spark: SparkSession, path: str, recursive: bool = True, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """source_file, text, bytes of all supported text files below a folder, without those whose name, or whose path below the
+    folder, fits one of some shell patterns (*, ? and [...]).
 
     A folder without files gives an empty table, and files of no bytes, which Spark passes over, give no row; bytes that are no UTF-8 become replacement characters.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    kept = files.where(ext.isin(*[e for e in SUPPORTED if e not in (".pdf", ".docx", ".xlsx", ".pptx")]))
-    if exclude:
-        kept = kept.where(~F.col("path").rlike(exclude))
-    return kept.select(F.col("path").alias("source_file"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("bytes"))
+    kept = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*TEXTS))
+    below = F.expr("substring(path, locate(_root, path) + length(_root) + 1)")
+    kept = kept.withColumn("_root", F.lit("/" + path.rstrip("/").rpartition("://")[2].strip("/")))
+    for pattern in exclude:
+        shape = fnmatch.translate(pattern)
+        kept = kept.where(~F.substring_index("path", "/", -1).rlike(shape) & ~below.rlike(shape))
+    return _texts(kept)
+
+
+def load_file(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, text, bytes of one file; a file that is not there or is no text is an error, not an empty table."""
+    if not existing(spark, [path]):
+        raise FileNotFoundError(path)
+    if not path.lower().endswith(TEXTS):
+        raise ValueError(f"no text file: {path}")
+    return _texts(spark.read.format("binaryFile").load(path))
+
+
+def load_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same of several files; those that are not there or are no texts are passed over."""
+    found = existing(spark, [p for p in paths if p.lower().endswith(TEXTS)])
+    return _texts(spark.read.format("binaryFile").load(found)) if found else spark.createDataFrame([], "source_file string, text string, bytes long")
 
 
 def load_images(spark: SparkSession, path: str) -> DataFrame:
