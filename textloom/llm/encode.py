@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, staged
+from ..session import scratch, shared_dir, staged
 
 TOKENIZERS = "/opt/tokenizers"
 #: Words in the lexicon at most.
@@ -321,7 +320,7 @@ def publish_lexicon(spark: SparkSession, words: list[str], rank: dict[bytes, int
     lexicon = Lexicon.build({b: merge(b, rank) for b in {w.encode() for w in words}})
     folder = shared_dir(spark)
     if folder.startswith("file:") or "://" not in folder:
-        path = os.path.join(folder.removeprefix("file:").replace("///", "/"), f"lexicon-{uuid.uuid4().hex}")
+        path = scratch(spark, "lexicon").removeprefix("file:").replace("///", "/")
         lexicon.save(path)
         return path
     return spark.sparkContext.broadcast(tuple(np.asarray(getattr(lexicon, n)) for n in Lexicon.FILES))
