@@ -163,9 +163,11 @@ def test_scans(spark):
     files = []
     for i in range(30):
         text = "\n".join(page(7 + k, f"Manual {i}.2 Operations", [f"{WORDS[(i + k + j) % 50]} {x}" for j, x in enumerate(body)]) for k in range(3))
+        for k, (a, b) in {5: ("policy", "p0licy"), 11: ("longer", "l0nger"), 17: ("restarted the", "restarted thc"), 23: ("growing", "gr0wing"), 29: ("error", "err0r")}.items():
+            text = text.replace(a, b, 1) if i == k else text  # a confusion that leaves no trace but once is not believed
         files.append((f"f{i}", text, "7-9", "clash"))
     bad = "Manual 9.2 Operations\n\nThe operat0r noticed that the tab1e kept growing and that\nthe value no longer mat-\n\n- 7 -\n\nManual 9.2 Operations\n\nched. After the reten¬\ntion policy was restarted the summary task\nreported an error.\n\nRecommended value:\n\n128\n\n-----\n\n- 8 -"
-    files += [("bad", bad, "7-8", None), ("bad", bad, "7-8", None), ("null", None, None, None), ("empty", "", "x", None), ("long", "word " * 20000, None, None)]
+    files += [("bad", bad, "7-8", None), ("bad", bad, "7-8", None), ("null", None, None, None), ("empty", "", "x", None), ("long", "gnat " * 20000, None, None)]
     df = spark.createDataFrame(files, "file_id string, markdown_content string, pages string, noise string")
     rows = {(r.line_no, n) for r in S.scan_lines(df).where("file_id = 'bad'").collect() for n in r.noise}
     assert rows == {(1, "header"), (3, "ocr"), (4, "hyphen"), (6, "page_number"), (8, "header"), (10, "hyphen"), (20, "page_number")}
