@@ -51,6 +51,7 @@ def enriched(rows: DataFrame, conversation: str, recent: int = 2, cut: int = 200
 
     Former turns are joined by conversation and turn number, so a long conversation is no task of its own.
     """
+    # The labels of questions, answers and contexts.
     said = rows.select(F.col(conversation).alias("_c"), "turn", F.concat(F.lit("问: "), "query", F.lit("\n答: "), F.substring("response", 1, cut)).alias("_said"))
     out = rows.select(conversation, "turn", "query")
     for back in range(recent, 0, -1):
@@ -84,6 +85,7 @@ def windows(rows: DataFrame, conversation: str, limit: int = 6, keep: int = 2) -
 
 def summaries(rows: DataFrame, conversation: str, first: int = 5) -> DataFrame:
     """conversation, summary: its first questions. Only those are gathered, however long the conversation."""
+    # How a summary begins.
     few = rows.where(F.col("turn") <= first)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "query"))), lambda x: x["query"])
     return few.groupBy(conversation).agg(F.concat(F.lit("用户询问了: "), F.array_join(listed, ", ")).alias("summary"))

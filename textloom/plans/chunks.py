@@ -66,6 +66,15 @@ def chunk_chinese(spark: SparkSession, d: str) -> DataFrame:
     return K.numbered(docs(spark, d), K.chinese_chunks(F.col("text")))
 
 
+_PIECES = f"list_filter(list_transform(string_split(regexp_replace(text, '([。！？；\n]+)', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_WINDOWS = "list_transform(range(1, length(x) + 1, 462), lambda i: substring(x, i, 512))"
+_KEPT = "case when a.cur = '' then a.out else list_append(a.out, a.cur) end"
+_FOLD = f"""list_reduce(list_transform(p, lambda x: {{'x': x, 'cur': case when length(x) > 512 then '' else x end, 'out': case when length(x) > 512 then {_WINDOWS} else []::varchar[] end}}), lambda a, b:
+case when length(b.x) > 512 then {{'x': '', 'cur': '', 'out': list_concat({_KEPT}, b.out)}} when length(a.cur) + length(b.x) <= 512 then {{'x': '', 'cur': a.cur || b.x, 'out': a.out}}
+else {{'x': '', 'cur': case when a.cur = '' then '' else substring(a.cur, greatest(length(a.cur) - 49, 1), 50) end || b.x, 'out': {_KEPT}}} end)"""
+SQL["chunk_chinese"] = _numbered(f"select doc_id, case when r.cur = '' then r.out else list_append(r.out, r.cur) end c from (select doc_id, {_FOLD} r from (select doc_id, {_PIECES} p from documents where text is not null) where len(p) > 0)")
+
+
 @query
 def chunk_chars(spark: SparkSession, d: str) -> DataFrame:
     return K.numbered(docs(spark, d), K.char_chunks(F.col("text")))

@@ -266,6 +266,7 @@ def gen_query(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").where("text is not null")
     top = keywords(docs, 2).groupBy("doc_id").agg(F.max(F.when(F.col("place") == 1, F.col("word"))).alias("w1"), F.max(F.when(F.col("place") == 2, F.col("word"))).alias("w2"))
     first = F.substring(F.substring_index(F.when(F.contains("text", F.lit(". ")), F.col("text")).otherwise(F.substring("text", 1, 100)), ". ", 1), 1, 50)
+    # The three forms of a question.
     q = F.when(F.col("w2").isNotNull(), F.concat(F.lit("What is the relationship between "), "w1", F.lit(" and "), "w2", F.lit("?"))).when(F.col("w1").isNotNull(), F.concat(F.lit("What is "), "w1", F.lit("?"))).otherwise(F.concat(F.lit("What is discussed in: "), first, F.lit("?")))
     return docs.select("doc_id", "text").join(top, "doc_id", "left").select("doc_id", q.alias("question"))
 
