@@ -143,8 +143,9 @@ def test_evenly_spread_edits(size, step):
     for _ in range(30):
         text = "".join(rnd.choice(WORDS) + str(rnd.randrange(9999)) + " " for _ in range(size // 8 + 1))[:size]
         texts += [text, "".join("q" if k % step == step // 2 else c for k, c in enumerate(text))]
-    tokens = {}
-    for k, at, values in N.least_hashes(texts):
+    tokens, found = {}, N.grams_of(texts)
+    marks = N.marks_of(found[0], found[1], len(texts))
+    for k, at, values in N.least_hashes(*found):
         for i, row in zip(at.tolist(), np.stack([values[:, j :: N.BAND] for j in range(N.BAND)], 2)):
             tokens.setdefault(i, {})[k] = row
     for i in range(0, len(texts), 2):
@@ -152,6 +153,7 @@ def test_evenly_spread_edits(size, step):
         if len(a & b) >= 0.7 * len(a | b):
             both = tokens[i].keys() & tokens[i + 1].keys()
             assert max((tokens[i][k] == tokens[i + 1][k]).all(1).sum() for k in both) >= N.SHARED
+            assert N.marks_differ(marks[i : i + 1], marks[i + 1 : i + 2])[0] <= N.MARKS_DIFFER
 
 
 def page(n, header, body):

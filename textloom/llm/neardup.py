@@ -10,7 +10,8 @@ Texts are normalised and equal ones become one representative. Candidates come f
   candidates a text's prefix is estimated to bring, the longer the prefix and the larger l.
 - Tokens meet by hash ranges, with a sketch of one bit a value that drops most chance meetings at once; a token with more
   texts than fit is split into blocks that meet pairwise.
-- Pairs with enough shared tokens are verified exactly on their sets of substrings of 4 characters.
+- Pairs with enough shared tokens are held against each other by marks, 2 bits of each of 176 least hashes more, so that few
+  texts move for pairs that are not similar. Those that are left are verified exactly on their sets of substrings of 4 characters.
 
 The substrings themselves cannot be the prefix tokens: a prefix of single substrings must hold 0.3 of a text's set, and in
 these tables the rarest 0.3 reach substrings that one text in 14 holds, so that candidates are near all pairs.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ BANDS, BAND, SHARED = 44, 4, 3
 VALUES = BANDS * BAND
 #: Bits of the sketch and how many may differ: in texts of similarity 0.7 it is 19.2, with a deviation of 4.
 SKETCH, DIFFER = 128, 34
+#: Least hashes of a text for its marks, and how many of their marks may differ: in texts of similarity 0.7 it is 39.6, with a
+#: deviation of 5.5.
+MARKS, MARKS_DIFFER = 176, 60
 #: A text's prefix grows by one token, and what a partner must share with it, at each of these numbers of texts that hold one of its
 #: tokens on average, beyond the table's noise.
 DEAR = (2, 16)
@@ -88,8 +93,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield np.array(ids, np.int64), texts, np.array(salts, np.int64).astype(np.uint64)
 
 
-def least_hashes(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Class, texts of it, and least hashes of each one's substrings of 4 characters. An empty bin has the largest number."""
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct substrings of 4 characters of all texts, the text of each, and how many each text has."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter(map(len, texts), np.int64, len(texts)))
     grams, of = windows(codes.astype(np.uint64), owner, 4)
@@ -97,8 +102,34 @@ def least_hashes(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray
     first = np.ones(len(keyed), bool)
     first[1:] = keyed[1:] != keyed[:-1]
     keyed = keyed[first]
-    of, grams = (keyed >> np.uint64(44)).astype(np.int64), mix(keyed & np.uint64((1 << 44) - 1))
-    grams_n = np.bincount(of, minlength=len(texts))
+    of = (keyed >> np.uint64(44)).astype(np.int64)
+    return mix(keyed & np.uint64((1 << 44) - 1)), of, np.bincount(of, minlength=len(texts))
+
+
+def binned(grams: np.ndarray, at: np.ndarray, bins: int, n: int, odd: np.uint64) -> np.ndarray:
+    """Least hash of each of so many bins of each of n texts; an empty bin has the largest number. at: first bin of a substring's text."""
+    out = np.full(n * bins, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    v = grams * odd
+    v ^= v >> np.uint64(32)
+    np.minimum.at(out, at + ((v & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), v)
+    return out.reshape(n, bins)
+
+
+def marks_of(grams: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """2 bits of each of MARKS least hashes of every text. Bins that are empty in both of two texts do not differ."""
+    values = binned(grams, of * MARKS, MARKS, n, np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(13)
+    two = np.stack([values & np.uint64(1), values >> np.uint64(1) & np.uint64(1)], 2).astype(np.uint8)
+    return np.packbits(two.reshape(n, 2 * MARKS), axis=1)
+
+
+def marks_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many marks differ between the rows of two tables."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint8(1)) & np.uint8(0x55)).sum(axis=1, dtype=np.int64)
+
+
+def least_hashes(grams: np.ndarray, of: np.ndarray, grams_n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Class, texts of it, and least hashes of each one's substrings of 4 characters."""
     for k, (low, high, bins) in enumerate(CLASSES):
         member = (grams_n >= max(low, 1)) & (grams_n <= high)
         if not member.any():
@@ -106,18 +137,12 @@ def least_hashes(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray
         mine = None if member.all() else np.flatnonzero(member[of])
         h = grams if mine is None else grams[mine]
         at = (np.cumsum(member) - 1)[of if mine is None else of[mine]] * bins
-        rounds = VALUES // bins
-        values = np.full((rounds, int(member.sum()) * bins), 0xFFFFFFFFFFFFFFFF, np.uint64)
-        odd = np.random.default_rng(k).integers(0, 1 << 64, rounds, np.uint64, False) | np.uint64(1)
-        for n in range(rounds):
-            v = h * odd[n]
-            v ^= v >> np.uint64(32)
-            np.minimum.at(values[n], at + ((v & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), v)
-        yield k, np.flatnonzero(member), values.reshape(rounds, -1, bins).transpose(1, 0, 2).reshape(-1, VALUES)
+        odd = np.random.default_rng(k).integers(0, 1 << 64, VALUES // bins, np.uint64, False) | np.uint64(1)
+        yield k, np.flatnonzero(member), np.concatenate([binned(h, at, bins, int(member.sum()), o) for o in odd], axis=1)
 
 
 def signatures(reps: DataFrame) -> DataFrame:
-    """id, and as bytes the tokens and the sketch of each text, once for each of its classes.
+    """id, and as bytes the tokens and the sketch of each text, once for each of its classes, and the marks, in the first of them only.
 
     Tokens are numbers of 32 bits; sources with different salts, classes and bands have different ones, and where two
     happen to be equal, sketches and verification tell texts apart.
@@ -125,15 +150,19 @@ def signatures(reps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, salts in text_chunks(batches):
-            for k, at, values in least_hashes(texts):
+            found = grams_of(texts)
+            marks, done = marks_of(found[0], found[1], len(texts)), np.zeros(len(texts), bool)
+            for k, at, values in least_hashes(*found):
                 sketch = np.packbits((values[:, :SKETCH] >> np.uint64(12) & np.uint64(1)).astype(np.uint8), axis=1)
                 key = mix(salts[at, None] * np.uint64(_BASE) + (np.arange(BANDS) * 4 + k + 1).astype(np.uint64))
                 for j in range(BAND):
                     key = mix((key ^ values[:, j::BAND]) * np.uint64(_BASE))
                 keys = (key >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), rows_of(keys), rows_of(sketch)], names=["id", "keys", "sketch"])
+                shown = pc.if_else(pa.array(done[at]), pa.scalar(None, pa.binary()), rows_of(marks[at]))
+                done[at] = True
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), rows_of(keys), rows_of(sketch), shown], names=["id", "keys", "sketch", "marks"])
 
-    return staged(reps.select("id", "text", "salt").mapInArrow(run, "id long, keys binary, sketch binary"), "signatures")
+    return staged(reps.select("id", "text", "salt").mapInArrow(run, "id long, keys binary, sketch binary, marks binary"), "signatures")
 
 
 def rows_of(table: np.ndarray) -> pa.Array:
@@ -227,7 +256,7 @@ def postings(signed: DataFrame, table, parts: int) -> DataFrame:
                 names=["part", "key", "id", "sketch", "need"],
             )
 
-    return signed.mapInArrow(run, "part int, key binary, id binary, sketch binary, need binary")
+    return signed.select("id", "keys", "sketch").mapInArrow(run, "part int, key binary, id binary, sketch binary, need binary")
 
 
 def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -303,7 +332,16 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(table.sum()) // 2_000_000)
     sent = spark.sparkContext.broadcast(table)
     found = postings(signed, sent, parts).repartition(parts, "part").groupBy("part").applyInPandas(meet, "a long, b long, n long, need long")
-    candidates = staged(found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"), "candidates")
+    shared = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    marked = signed.where("marks is not null").groupBy("id").agg(F.first("marks").alias("marks"))
+    pairs = shared.join(marked.withColumnRenamed("id", "a"), "a").join(marked.select(F.col("id").alias("b"), F.col("marks").alias("other")), "b")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(marks_differ(table_of(b.column("marks"), np.uint8), table_of(b.column("other"), np.uint8)) <= MARKS_DIFFER)).select(["a", "b"])
+
+    candidates = staged(pairs.select("a", "b", "marks", "other").mapInArrow(alike, "a long, b long"), "candidates")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
