@@ -46,6 +46,8 @@ MARKS, MARKS_DIFFER = 176, 60
 #: A text's prefix grows by one token, and what a partner must share with it, at each of these numbers of texts that hold one of its
 #: tokens on average, beyond the table's noise.
 DEAR = (2, 16)
+#: Numbers that the texts of candidates are told by before they move; the table of those that occur is broadcast.
+SLOTS = 1 << 20
 #: Characters that a task handles at once.
 CHUNK = 1_500_000
 _BASE = 0x9E3779B97F4A7C15
@@ -351,7 +353,10 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
                 yield out[out["similarity"] >= threshold]
 
     sides = candidates.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    texts = reps.join(sides.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    # Most texts are in no candidate; a table of fixed size tells those that may be in one before any text is shuffled.
+    slots = sides.select(F.pmod("id", F.lit(SLOTS)).alias("slot")).distinct()
+    near = reps.withColumn("slot", F.pmod("id", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi")
+    texts = near.join(sides.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     both = sides.join(texts, "id").groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("text_a"), F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("text_b"))
     return staged(both.mapInPandas(verify, "a long, b long, similarity double"), "pairs")
 
