@@ -33,6 +33,8 @@ from ..session import staged
 #: Entries of the table of token counts, and the texts of one token that meet in one block.
 TABLE_BITS, BLOCK = 20, 4_000
 SLICES = 16
+#: Turns in which the ranges of tokens meet, so that the postings of one turn only are on disk at a time.
+TURNS = 2
 #: By number of substrings (any two similar texts lie in one of these): least, largest, bins of one round of hashing.
 CLASSES = ((0, 130, 1), (90, 200, 22), (140, 400, 44), (280, 1 << 40, 88))
 #: Bands of a text, values of each, and bands that two similar texts have in common at least.
@@ -236,8 +238,8 @@ def in_blocks(key: np.ndarray, chance: np.ndarray, count: np.ndarray, size: int
     return rep, wide, np.where(low == high, 2, (own[rep] == high).astype(np.int64))
 
 
-def postings(signed: DataFrame, table, parts: int) -> DataFrame:
-    """part, and as bytes the tokens, texts, sketches, and needs with blocks' sides of the prefix tokens that fall into it."""
+def postings(signed: DataFrame, table, parts: int, turn: int) -> DataFrame:
+    """part, and as bytes the tokens, texts, sketches, and needs with blocks' sides of the prefix tokens that fall into it; of the parts of one turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,9 +251,10 @@ def postings(signed: DataFrame, table, parts: int) -> DataFrame:
             key = keys[chosen]
             rep, wide, across = in_blocks(key, mix(ids.astype(np.uint64))[at], count[chosen])
             part = (wide % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
-            stops, of = np.append(cuts[1:], len(rep)), at[rep[order]]
+            now = np.flatnonzero(part % TURNS == turn)
+            order = now[np.argsort(part[now], kind="stable")]
+            cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])[: len(order)])
+            stops, of = np.append(cuts[1:], len(order)), at[rep[order]]
             cols = ((wide[order] >> np.uint64(32)).astype(np.uint32), ids[of], sketch[of], (need[of] * 4 + across[order]).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part[order][cuts].astype(np.int32)), *(pa.array([c[i:j].tobytes() for i, j in zip(cuts, stops)], pa.binary()) for c in cols)],
@@ -333,7 +336,10 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     table = token_table(signed)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(table.sum()) // 2_000_000)
     sent = spark.sparkContext.broadcast(table)
-    found = postings(signed, sent, parts).repartition(parts, "part").groupBy("part").applyInPandas(meet, "a long, b long, n long, need long")
+    found = None
+    for turn in range(TURNS):
+        part = staged(postings(signed, sent, parts, turn).repartition(parts, "part").groupBy("part").applyInPandas(meet, "a long, b long, n long, need long"), "meetings")
+        found = part if found is None else found.unionByName(part)
     shared = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
     marked = signed.where("marks is not null").groupBy("id").agg(F.first("marks").alias("marks"))
     pairs = shared.join(marked.withColumnRenamed("id", "a"), "a").join(marked.select(F.col("id").alias("b"), F.col("marks").alias("other")), "b")
