@@ -201,7 +201,7 @@ def test_pairs_of_words_decide():
     read = {**counts, "w": {**counts["w"], "stcm": 1}}
     assert S.Channel(read, None, rates).decode(["stcm", "cell"]) == ["stem", "cell"]
     stern = {**counts, "w": {**counts["w"], "stem": 41, "stern": 40}}
-    with_pairs, without = S.Channel(stern, None, [0.3] * len(S.CONFUSIONS)), S.Channel({"w": stern["w"]}, None, [0.3] * len(S.CONFUSIONS))
+    with_pairs, without = S.Channel(stern, None, [0.05] * len(S.CONFUSIONS)), S.Channel({"w": stern["w"]}, None, [0.05] * len(S.CONFUSIONS))
     assert with_pairs.decode(["stern", "cell"]) != without.decode(["stern", "cell"])
 
 
