@@ -181,6 +181,33 @@ def test_scans(spark):
     assert {(r.line_no, n) for r in few.collect() for n in r.noise} == rows
 
 
+def test_what_is_kept_does_not_decide(spark):
+    """Rare words stand for rare words, once or twice misread, also across a hyphen; Chinese: the same lines whatever is sent to all tasks."""
+    rnd = random.Random(5)
+    words = [f"{w}{x}" for w in WORDS for x in ("el", "om", "ude", "fun", "fihub", "lote", "hesode")]
+    swap = {"c": "e", "0": "o", "5": "s", "†": "t"}
+    files = []
+    for i in range(40):
+        lines = []
+        for _ in range(40):
+            line = [rnd.choice(words) for _ in range(8)]
+            for _ in range(rnd.randrange(3)):
+                k = rnd.randrange(8)
+                for _ in range(rnd.choice([1, 1, 2])):
+                    a, b = rnd.choice(list(swap.items()))
+                    line[k] = line[k].replace(b, a, 1)
+            lines.append(" ".join(line))
+            if rnd.random() < 0.2:
+                lines[-1] += f" {line[0][:3]}-\n{line[0][3:]}"
+        lines += ["系统重启，系统正常，服务重启。" * 3, "系充重启，系统正常，服务重启。" if i % 9 == 0 else "服务正常，系统重启。"]
+        files.append((f"f{i}", "\n".join(lines), "1-2"))
+    df = spark.createDataFrame(files, "file_id string, markdown_content string, pages string")
+    want = {tuple(map(str, r)) for r in S.scan_lines(df).collect()}
+    assert sum("ocr" in r[3] for r in want) > 300 and any("hyphen" in r[3] for r in want) and any("系统重启，系统正常，服务重启。" == r[4] for r in want)
+    for keep in ({"w": 30, "b": 20, "z": 3, "c": 1, "h": 1}, {"w": 300, "b": 400, "z": 0, "c": 0, "h": 0}):
+        assert {tuple(map(str, r)) for r in S.scan_lines(df, keep).collect()} == want
+
+
 def test_confusion_rates_are_estimated(spark):
     """Words misread c for e at one place in 200 give that rate; pairs of words that are both printed give none."""
     rnd = random.Random(2)
